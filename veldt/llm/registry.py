@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL, as __spark_entry__ adds them."""
 
-from veldt.llm import chat_format
+from veldt.llm import chat_format, mixing
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_mixing": mixing.op2_mixing,
 }
 
 SQL = {
     "op1_chat_format": chat_format.OP1_SQL,
+    "op2_mixing": mixing.OP2_SQL,
 }
