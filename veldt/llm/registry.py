@@ -1,13 +1,16 @@
 """The queries of this subpackage and their SQL, as __spark_entry__ adds them."""
 
-from veldt.llm import chat_format, mixing
+from veldt.llm import chat_format, decontaminate, mixing, secrets
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_mixing": mixing.op2_mixing,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op9_secrets": secrets.op9_secrets,
 }
 
 SQL = {
     "op1_chat_format": chat_format.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "op5_decontamination": decontaminate.OP5_SQL,
 }
