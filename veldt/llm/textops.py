@@ -85,6 +85,20 @@ def word_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def prefix_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lengths) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length: the words that are longer, and a mixed hash of their first so many bytes. A prefix never
+    has the hash of a whole word."""
+    power, inverse = _grown(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
+    out = []
+    for n in lengths:
+        which = np.flatnonzero(end - start > n)
+        s = start[which]
+        out.append((which, mix((total[s + n] - total[s]) * inverse[s] + np.uint64(n + (1 << 32)))))
+    return out
+
+
 def windows(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of each n consecutive words of one text."""
     m = len(hashes) - n + 1
@@ -112,19 +126,21 @@ def map_text(df: DataFrame, keep: list[str], fn: Callable[[pa.Array], list], fie
     """The kept columns of every row and the new fields that fn makes of a slice's texts (one array each).
     text_out: fn's first array replaces the text column, where keep has it."""
     names = [*keep, *(f[0] for f in fields)]
-    source = df.select(*(F.col(f"`{k}`") for k in keep if not (text_out and k == text)), F.col(f"`{text}`").cast("string").alias("__text"))
-    order = [k for k in keep if not (text_out and k == text)]
+    order = [k for k in keep if k != text]
+    source = df.select(*(F.col(f"`{k}`") for k in order), F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches):
         for whole in batches:
             for part in steps(whole, whole.num_columns - 1):
-                made = fn(part.column(part.num_columns - 1))
-                col = {k: part.column(i) for i, k in enumerate(order)}
+                texts = part.column(part.num_columns - 1)
+                made = fn(texts)
+                col = {k: part.column(i) for i, k in enumerate(order)} | {text: texts}
                 if text_out:
                     col[text], made = made[0], made[1:]
                 col |= {f[0]: m if isinstance(m, pa.Array) else pa.array(m, f[2]) for f, m in zip(fields, made, strict=True)}
                 yield pa.RecordBatch.from_arrays([col[n] for n in names], names)
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    kinds[text] = "string"
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"`{n}` {t}" for n, t, _ in fields])
     return source.mapInArrow(run, schema)
