@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL, as __spark_entry__ adds them."""
 
-from veldt.llm import chat_format, decontaminate, mixing, secrets, simhash
+from veldt.llm import chat_format, decontaminate, mixing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_mixing": mixing.op2_mixing,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op3_quality": quality.op3_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_secrets": secrets.op9_secrets,
     "op10_simhash": simhash.op10_simhash,
 }
