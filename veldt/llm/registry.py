@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, as __spark_entry__ adds them."""
 
-from veldt.llm import chat_format, decontaminate, mixing, quality, secrets, simhash, toxicity
+from veldt.llm import chat_format, decontaminate, minhash, mixing, quality, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -8,6 +8,8 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5_decontamination,
     "op3_quality": quality.op3_quality,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_minhash": minhash.op8_minhash,
     "op9_secrets": secrets.op9_secrets,
     "op10_simhash": simhash.op10_simhash,
 }
