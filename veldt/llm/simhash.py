@@ -23,21 +23,23 @@ from pyspark.sql import functions as F
 
 from veldt.llm.common import cut, table
 from veldt.llm.components import components
-from veldt.llm.textops import NOT_SPACE, map_text, raw, words
+from veldt.llm.textops import NOT_SPACE, map_text, raw, windows, word_hash, words
 
 BITS = 64
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
 BUCKET = 4096
+#: For candidates that are verified: fingerprints of distinct words, so many bits apart.
+CANDIDATE_RADIUS = 6
 #: Members of a run that a task holds at once.
 HELD = 1 << 20
 _SPACE_OUT = np.arange(256, dtype=np.uint8)
 _SPACE_OUT[65:91] += 32
 
 
-def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The fingerprint of each text, as unsigned 64-bit numbers."""
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED, distinct: bool = False) -> np.ndarray:
+    """The fingerprint of each text, as unsigned 64-bit numbers. distinct: a repeated shingle counts once."""
     buf, at = raw(texts)
     out = np.zeros(len(texts), np.uint64)
     start, end, doc = words(buf, at, NOT_SPACE)
@@ -63,8 +65,12 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> n
     high = np.concatenate([new[many + shingle], new[last[few]]]) - 1
     of = np.concatenate([doc[many], few])
     hashes = np.fromiter((digest(data[a:b], seed) for a, b in zip(low.tolist(), high.tolist(), strict=True)), np.uint64, len(low))
-    order = np.argsort(of, kind="stable")
+    order = np.lexsort((hashes, of)) if distinct else np.argsort(of, kind="stable")
     hashes, of = hashes[order], of[order]
+    if distinct:
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
+        hashes, of = hashes[new], of[new]
     edge = np.flatnonzero(np.diff(of, prepend=-1))
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(of)], strict=True):
         out[of[a]] = _majority(hashes[a:b])
@@ -180,12 +186,10 @@ def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFram
     first = cut(dealt.repartition(parts, "t", "key").sortWithinPartitions("t", "key").mapInArrow(search, "t int, key long, a long, b long"), "links")
     edges = first.where("t < 0").select("a", "b")
     large = first.where("t >= 0").select("t", "key", F.col("a").alias("fp"))
-    sizes = large.groupBy("t", "key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(bucket / 2)))
+    sizes = large.groupBy("t", "key").agg(F.count("*").alias("n"))
     if sizes.limit(1).count() == 0:
         return edges
-    # every pair of blocks (i <= j) meets in one place
-    member = large.join(sizes, ["t", "key"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    meet = member.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("t", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp")
+    meet = _blocked(large, ["t", "key"], sizes, bucket, "fp").select("t", "key", "i", "j", "fp")
 
     def blocks(batches):
         for keys, fps, first in _runs(batches, 4):
@@ -211,15 +215,118 @@ def classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE,
     return prints.join(known, "fp").select(id_column, "fp", "component_id")
 
 
+def _blocked(rows: DataFrame, keys: list[str], sizes: DataFrame, limit: int, member: str) -> DataFrame:
+    """Every pair of a group's rows meets in some (keys, i, j): groups of up to limit rows in one place, larger ones
+    in one for each pair of their blocks."""
+    rows = rows.join(sizes.withColumn("blocks", F.ceil(F.col("n") / F.lit(limit / 2)) - F.when(F.col("n") <= limit, F.ceil(F.col("n") / F.lit(limit / 2)) - 1).otherwise(0)), keys)
+    rows = rows.withColumn("i", F.pmod(F.xxhash64(member), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")}).drop("blocks", "n")
+
+
+def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs of sets whose Jaccard similarity is at least similar. A reached member
+    is compared with the rest in one pass over the lists of those that hold its elements."""
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    open_, edges = np.ones(len(sets), bool), []
+    for start in range(len(sets)):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        queue = [start]
+        while queue:
+            x = queue.pop()
+            low, high = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            near = np.flatnonzero(open_ & (common >= similar * (size + size[x] - common) - 1e-9))
+            open_[near] = False
+            edges += [(int(ids[x]), int(ids[y])) for y in near]
+            queue += near.tolist()
+    return edges
+
+
+def similar_classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = 5, similar: float = 0.8, radius: int = CANDIDATE_RADIUS) -> DataFrame:
+    """Per distinct text: key (its MD5), least (struct of null flag and smallest id), class_id (the key of its class's first text).
+
+    Candidates are the components of SimHash fingerprints of the texts' distinct words within the radius; inside each, pairs whose word
+    shingle sets have at least the Jaccard similarity are linked, and classes are what links connect."""
+    keyed = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
+    prints = map_text(keyed, ["id", "key"], lambda t: [pa.array(fingerprints(t, 1, distinct=True).view(np.int64))], [("fp", "bigint", pa.int64())])
+    texts = cut(prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")), "prints")
+    roots = components(link(texts.select("fp").distinct(), radius)).withColumnsRenamed({"node": "fp"})
+    rooted = texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(rooted.join(sizes.select("root"), "root", "left_semi").select("root", "key", F.col("least.id").alias("id")), "members")
+    place = (F.col("k.key") == F.col("m.key")) & F.col("k.id").eqNullSafe(F.col("m.id"))
+    found = keyed.alias("k").join(members.alias("m"), place).select("m.root", "m.key", "k.text").dropDuplicates(["key"])
+    sets = cut(map_text(found, ["root", "key"], lambda t: shingle_sets(t, shingle), [("h", "array<bigint>", pa.list_(pa.int64()))]).withColumn("node", F.xxhash64("key")), "sets")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meet = _blocked(sets, ["root"], sets.groupBy("root").agg(F.count("*").alias("n")), BUCKET, "node").select("root", "i", "j", "node", "h")
+
+    def search(batches):
+        for ids, held in _groups(batches):
+            if edges := similar_forest(ids, held, similar):
+                a, b = zip(*edges, strict=True)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    links = meet.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(search, "a long, b long")
+    nodes = components(links)
+    named = texts.select("key", "least", F.xxhash64("key").alias("node")).join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min(F.struct("least", "key")).alias("f")).select("root", F.col("f.key").alias("class_id"))
+    return named.join(first, "root").select("key", "least", "class_id")
+
+
+def shingle_sets(texts: pa.Array, size: int) -> list:
+    """The sorted hashes of each text's distinct word shingles (A-Z as a-z; a shorter text is one shingle)."""
+    buf, at = raw(texts)
+    start, end, doc = words(buf, at, NOT_SPACE)
+    h = word_hash(buf, start, end)
+    first, many = windows(h, doc, size)
+    n = np.bincount(doc, minlength=len(texts))
+    few = np.flatnonzero((n < size) & (n > 0))
+    low = np.searchsorted(doc, few, "left")
+    alone = np.array([windows(h[a : a + k], doc[a : a + k], k)[1][0] for a, k in zip(low.tolist(), n[few].tolist(), strict=True)], np.uint64)
+    of, both = np.concatenate([doc[first], few]), np.concatenate([many, alone]).view(np.int64)
+    order = np.lexsort((both, of))
+    of, both = of[order], both[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (both[1:] != both[:-1])
+    ends = np.zeros(len(texts) + 1, np.int32)
+    np.cumsum(np.bincount(of[new], minlength=len(texts)), out=ends[1:])
+    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(both[new]))]
+
+
+def _groups(batches):
+    """(ids, sets) of each run of equal (root, i, j)."""
+    key, ids, sets = None, [], []
+    for b in batches:
+        lists = b.column(4)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for r, (k, node) in enumerate(zip(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True), b.column(3).to_pylist(), strict=True)):
+            if k != key:
+                if len(ids) > 1:
+                    yield np.array(ids), sets
+                key, ids, sets = k, [], []
+            ids.append(node)
+            sets.append(flat[at[r] : at[r + 1]].copy())
+    if len(ids) > 1:
+        yield np.array(ids), sets
+
+
 def keep_first(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """One document of each component, the one with the smallest id; of rows that share that id, the first by
-    their other columns. Documents without an id all stay."""
+    """One document of each class of similar_classes(): of its first text (smallest id, null ids last) the row that is first by all
+    columns."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    ids = classes(docs.where(F.col(f"`{id_column}`").isNotNull()), id_column)
-    first = ids.where(F.col(f"`{id_column}`") == F.col("component_id")).select(id_column).distinct()
-    order = Window.partitionBy(id_column).orderBy(*columns)
-    kept = docs.join(first, id_column, "left_semi").select(*columns).withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return kept.select(*columns).unionByName(docs.where(F.col(f"`{id_column}`").isNull()).select(*columns))
+    classes_ = similar_classes(docs, id_column).where(F.col("key") == F.col("class_id")).select("key", F.col("least.id").alias("id"))
+    keyed = docs.select(*columns, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__key"))
+    same = (F.col("__key") == F.col("c.key")) & F.col(f"d.`{id_column}`").eqNullSafe(F.col("c.id"))
+    kept = keyed.alias("d").join(classes_.alias("c"), same, "left_semi")
+    order = Window.partitionBy(id_column, "__key").orderBy(*columns)
+    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
