@@ -1,5 +1,6 @@
 """What the operators share: reading tables, the shared work folder and cutting lineage."""
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's
+    garbage is collected, which may come too late for the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def same_names(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; one that is missing is null. Other columns cannot clash with what an operator adds."""
     have = set(df.columns)

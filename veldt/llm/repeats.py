@@ -12,8 +12,9 @@ anchor's rank, a hash of all the bytes that its strings cover, and where.
 
 Round 1: records whose rank (of FIRST bytes) is unique end there: nothing in them repeats.
 Round 2: of the rest, records that are equal as a whole are settled: all their strings repeat.
-Round 3: where a rank has a record that is not, the strings of that rank's distinct records, one text for each, are
-ranked at LENGTH by (rank, d, hash of the string); those not unique repeat.
+Round 3: where a rank has several kinds of records, the strings of one record of each kind are ranked at LENGTH by (rank, d,
+hash of the string); those not unique repeat. Ranks with up to HELD kinds are searched where they lie; of larger ones every
+string becomes a row that is summed up like any other key.
 
 Ranks are 64-bit hashes, always compared together with the rank before, so two strings must collide twice to be mistaken.
 Rounds are sums over keys (combined before the shuffle) and joins, so a passage that a third of all texts hold makes
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm.common import cut, table
+from veldt.llm.common import cut, discard, release, table
 from veldt.llm.textops import _grown, mix, raw, steps
 
 LENGTH = 200
-FIRST = 64
+FIRST = 32
+#: Records of a rank that are searched in one place.
+HELD = 20_000
 #: Strings that one part of a long text starts, at most.
 PART = 1 << 22
 _POSITION = np.uint64((1 << 24) - 1)
@@ -104,7 +107,17 @@ def _parts(buf: np.ndarray, at: np.ndarray, length: int):
         yield 0, buf, at
 
 
+def _pack(lo, n, dx):
+    return (lo << 20) + (n << 10) + dx
+
+
+def _unpack(pack):
+    return pack >> 20, pack >> 10 & 1023, pack & 1023
+
+
 def _find(docs: DataFrame, length: int, first: int) -> DataFrame:
+    """id, crc, pack (lo, n and dx), rank and whole of every record."""
+
     def run(batches):
         for whole in batches:
             for part in steps(whole, 2):
@@ -112,71 +125,151 @@ def _find(docs: DataFrame, length: int, first: int) -> DataFrame:
                 for base, b, a in _parts(buf, at, length):
                     text, lo, n, dx, rank, all_ = records(b, a, length, first)
                     if len(text):
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), pa.array((lo - a[text] + base)), pa.array(n.astype(np.int32)), pa.array(dx.astype(np.int32)), pa.array(rank.view(np.int64)), pa.array(all_.view(np.int64))], ["id", "crc", "lo", "n", "dx", "rank", "whole"])
+                        of = pa.array(text)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(_pack(lo - a[text] + base, n, dx)), pa.array(rank.view(np.int64)), pa.array(all_.view(np.int64))], ["id", "crc", "pack", "rank", "whole"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, crc bigint, lo bigint, n int, dx int, rank bigint, whole bigint")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, crc bigint, pack bigint, rank bigint, whole bigint")
 
 
 def _same(a: str, b: str):
     return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.crc") == F.col(f"{b}.crc"))
 
 
-def _strings(rows: DataFrame, length: int) -> DataFrame:
-    """rank, d, h, id, crc, p of every string of the wanted records. Input: id, crc, text, wanted array<struct<lo,n,dx,rank,times>>."""
+def _slices(rows: DataFrame, length: int) -> DataFrame:
+    """rank, times, id, crc, pack and bytes of the wanted records. Input: id, crc, text, wanted array<struct<pack,rank,times>>."""
 
     def run(batches):
-        for whole in batches:
-            for part in steps(whole, 2):
-                buf, at = raw(part.column(2))
-                lists = part.column(3)
-                ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                w = lists.flatten()
-                lo, n, dx, rank, times = (w.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-                text = np.repeat(np.arange(part.num_rows), np.diff(ends))
-                if not len(lo):
+        for b in batches:
+            out, size = [], 0
+            for i, crc, text, wanted in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
+                data = memoryview(text.as_buffer())
+                for pack, rank, times in zip(*(wanted.values.field(k).to_pylist() for k in range(3)), strict=True):
+                    lo, n, _ = _unpack(pack)
+                    out.append((rank, times, i.as_py(), crc.as_py(), pack, bytes(data[lo : lo + n + length - 1])))
+                    size += n + length
+                if size > 1 << 22:
+                    yield batch(out)
+                    out, size = [], 0
+            if out:
+                yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["rank", "times", "id", "crc", "pack", "bytes"])
+
+    kinds = [pa.int64(), pa.int64(), rows.select("id").limit(0).toArrow().schema.field(0).type, pa.int64(), pa.int64(), pa.binary()]
+    return rows.mapInArrow(run, f"rank bigint, times bigint, id {rows.schema['id'].dataType.simpleString()}, crc bigint, pack bigint, bytes binary")
+
+
+def _strings(t: pa.Table, length: int):
+    """record, d, h and start of every string of some slices."""
+    lo, n, dx = _unpack(t["pack"].to_numpy())
+    buf, at = raw(t["bytes"].combine_chunks())
+    rec = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(rec)) - np.repeat(np.cumsum(n) - n, n)
+    start = at[rec] + nth
+    h = np.empty(len(rec), np.uint64)
+    for a in range(0, len(buf), PART):
+        here = slice(*np.searchsorted(start, [a, a + PART]))
+        if here.stop > here.start:
+            h[here] = Hashes(buf[a : a + PART + length]).of(start[here] - a, start[here] - a + length)
+    return rec, dx[rec] - nth, h, lo[rec] + nth
+
+
+def _match(slices: DataFrame, length: int, held: int) -> DataFrame:
+    """Of slices sorted by rank: runs [low, high] of strings that repeat (t null), in records that stand for one place only;
+    and all strings (t: times) of ranks with more than held records."""
+    kind = slices.schema["id"].dataType.simpleString()
+    names = ["id", "crc", "low", "high", "rank", "d", "h", "t"]
+
+    def row(t, rec, low, high, rank=None, d=None, h=None, times=None):
+        of = pa.array(rec)
+        more = [pa.nulls(len(rec), k) if x is None else pa.array(x, k) for x, k in ((rank, pa.int64()), (d, pa.int32()), (h, pa.int64()), (times, pa.int64()))]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t["id"].take(of), t["crc"].take(of))] + [pa.array(low), pa.array(high), *more], names)
+
+    def search(t):
+        rec, d, h, p = _strings(t, length)
+        rank, times = t["rank"].to_numpy()[rec], t["times"].to_numpy()[rec]
+        order = np.lexsort((h, d, rank))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (d[order][1:] != d[order][:-1]) | (rank[order][1:] != rank[order][:-1])
+        total = np.add.reduceat(times[order], np.flatnonzero(new))
+        twice = np.empty(len(order), bool)
+        twice[order] = (total > 1)[np.cumsum(new) - 1]
+        ok = np.flatnonzero(twice & (times == 1))
+        if len(ok):
+            first = np.ones(len(ok), bool)
+            first[1:] = (rec[ok][1:] != rec[ok][:-1]) | (p[ok][1:] != p[ok][:-1] + 1)
+            last = np.append(first[1:], True)
+            yield row(t, rec[ok[first]], p[ok[first]], p[ok[last]])
+
+    def spell(t):
+        for i in range(0, t.num_rows, 2000):
+            part = t.slice(i, 2000)
+            rec, d, h, p = _strings(part, length)
+            yield row(part, rec, p, p, part["rank"].to_numpy()[rec], d.astype(np.int32), h.view(np.int64), part["times"].to_numpy()[rec])
+
+    def run(batches):
+        rest, large = None, None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if large is not None:
+                n = int(np.searchsorted(t["rank"].to_numpy(), large, "right"))
+                yield from spell(t.slice(0, n))
+                t = t.slice(n)
+                if not t.num_rows:
                     continue
-                cum = np.cumsum(n) - n
-                rec = np.repeat(np.arange(len(n)), n)
-                p = np.arange(n.sum()) - cum[rec] + lo[rec]
-                glob = p + at[text[rec]]
-                h = np.empty(len(p), np.uint64)
-                # a long text is hashed in parts
-                for a in range(0, len(buf), PART):
-                    here = np.flatnonzero((glob >= a) & (glob < a + PART))
-                    if len(here):
-                        h[here] = Hashes(buf[a : a + PART + length]).of(glob[here] - a, glob[here] - a + length)
-                for i in range(0, len(p), 1 << 18):
-                    s = slice(i, i + (1 << 18))
-                    t = pa.array(text[rec[s]])
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(t), part.column(1).take(t), pa.array(p[s]), pa.array((dx[rec[s]] - (p[s] - lo[rec[s]])).astype(np.int32)), pa.array(rank[rec[s]]), pa.array(h[s].view(np.int64)), pa.array(times[rec[s]].astype(np.int64))], ["id", "crc", "p", "d", "rank", "h", "times"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, crc bigint, p bigint, d int, rank bigint, h bigint, times bigint")
-
-
-def repeats(docs: DataFrame, id_column: str = "doc_id", length: int = LENGTH, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
-    """The texts (id, crc, text), and first and last start (low, high) of runs of repeated strings by id and crc."""
+                large = None
+            t = t if rest is None else pa.concat_tables([rest, t])
+            ranks = t["rank"].to_numpy()
+            whole = int(np.searchsorted(ranks, ranks[-1], "left"))
+            if whole:
+                yield from search(t.slice(0, whole))
+            rest = t.slice(whole)
+            if rest.num_rows > held:
+                large = ranks[-1]
+                yield from spell(rest)
+                rest = None
+        if rest is not None and rest.num_rows:
+            yield from search(rest)
+
+    return slices.mapInArrow(run, f"id {kind}, crc bigint, low bigint, high bigint, rank bigint, d int, h bigint, t bigint")
+
+
+def repeats(docs: DataFrame, id_column: str = "doc_id", length: int = LENGTH, first: int = FIRST, held: int = HELD) -> tuple[DataFrame, DataFrame]:
+    """The texts (id, crc, text), and the runs of starts of repeated strings per text: id, crc, spans array<struct<low,high>>."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("id", F.crc32("text").alias("crc"), "text")
     found = cut(_find(texts, length, first), "records")
-    shared = found.groupBy("rank").agg(F.count("*").alias("times")).where("times > 1").select("rank")
-    alive = cut(found.join(shared, "rank"), "alive")
-    kinds = cut(alive.groupBy("rank", "whole").agg(F.count("*").alias("times"), F.min(F.struct("id", "crc", "lo", "n", "dx")).alias("r")), "kinds")
-    settled = alive.join(kinds.where("times > 1").select("rank", "whole"), ["rank", "whole"]).select("id", "crc", F.col("lo").alias("low"), (F.col("lo") + F.col("n") - 1).alias("high"))
-    # ranks with one kind only have it twice at least
+    alive = cut(found.join(found.groupBy("rank").agg(F.count("*").alias("times")).where("times > 1").select("rank"), "rank"), "alive")
+    discard(found)
+    release(spark)
+    kinds = cut(alive.groupBy("rank", "whole").agg(F.count("*").alias("times"), F.min(F.struct("id", "crc", "pack")).alias("r")), "kinds")
+    release(spark)
+    # ranks of one kind, which then stands in several places, and of kinds that all do, need no search
     several = kinds.groupBy("rank").agg(F.count("*").alias("k"), F.min("times").alias("least")).where("k > 1 and least = 1").select("rank")
-    wanted = kinds.join(several, "rank").select("r.id", "r.crc", F.struct("r.lo", "r.n", "r.dx", "rank", "times").alias("w"))
-    wanted = wanted.groupBy("id", "crc").agg(F.collect_list("w").alias("wanted"))
-    rows = texts.alias("t").join(wanted.alias("w"), _same("t", "w")).select("t.id", "t.crc", "t.text", "w.wanted")
-    strings = cut(_strings(rows, length), "strings")
-    twice = strings.groupBy("rank", "d", "h").agg(F.sum("times").alias("all")).where("all > 1").select("rank", "d", "h")
-    single = strings.where("times = 1").join(twice, ["rank", "d", "h"]).select("id", "crc", F.col("p").alias("low"), F.col("p").alias("high"))
-    return texts, settled.unionByName(single)
+    wanted = kinds.join(several, "rank").groupBy("r.id", "r.crc").agg(F.collect_list(F.struct("r.pack", "rank", "times")).alias("wanted"))
+    slices = cut(_slices(texts.alias("t").join(wanted.alias("w"), _same("t", "w")).select("t.id", "t.crc", "t.text", "w.wanted"), length), "slices")
+    release(spark)
+    matched = cut(_match(slices.repartition(parts, "rank").sortWithinPartitions("rank"), length, held), "matched")
+    discard(slices)
+    release(spark)
+    strings = matched.where("t is not null")
+    twice = strings.groupBy("rank", "d", "h").agg(F.sum("t").alias("all")).where("all > 1").select("rank", "d", "h")
+    lo, n = F.shiftright("pack", 20), F.shiftright("pack", 10).bitwiseAND(F.lit(1023))
+    settled = alive.join(kinds.where("times > 1").select("rank", "whole"), ["rank", "whole"]).select("id", "crc", lo.alias("low"), (lo + n - 1).alias("high"))
+    spans = settled.unionByName(matched.where("t is null").select("id", "crc", "low", "high")).unionByName(strings.where("t = 1").join(twice, ["rank", "d", "h"]).select("id", "crc", "low", "high"))
+    lists = cut(spans.groupBy("id", "crc").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    for done in (alive, kinds, matched):
+        discard(done)
+    release(spark)
+    return texts, lists
 
 
-def removed(docs: DataFrame, id_column: str = "doc_id", length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, id_column: str = "doc_id", length: int = LENGTH, with_text: bool = False, **more) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) if asked for."""
-    texts, spans = repeats(docs, id_column, length)
-    lists = cut(spans.groupBy("id", "crc").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    texts, lists = repeats(docs, id_column, length, **more)
     rows = texts.alias("t").join(lists.alias("s"), _same("t", "s"), "left").select("t.id", "t.text", "s.spans")
     names = [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
 
