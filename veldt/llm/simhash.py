@@ -29,7 +29,11 @@ BITS = 64
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-BUCKET = 4096
+#: Fingerprints of a bucket that are searched in one place (a megabyte); linked ones leave the search at once, so only the
+#: unlinked ones of a bucket cost time with their square.
+BUCKET = 1 << 17
+#: Shingle sets of a candidate class that are searched in one place.
+SETS = 4096
 #: For candidates that are verified: fingerprints of distinct words, so many bits apart.
 CANDIDATE_RADIUS = 6
 #: Members of a run that a task holds at once.
@@ -265,7 +269,7 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = 5
     found = keyed.alias("k").join(members.alias("m"), place).select("m.root", "m.key", "k.text").dropDuplicates(["key"])
     sets = cut(map_text(found, ["root", "key"], lambda t: shingle_sets(t, shingle), [("h", "array<bigint>", pa.list_(pa.int64()))]).withColumn("node", F.xxhash64("key")), "sets")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    meet = _blocked(sets, ["root"], sets.groupBy("root").agg(F.count("*").alias("n")), BUCKET, "node").select("root", "i", "j", "node", "h")
+    meet = _blocked(sets, ["root"], sets.groupBy("root").agg(F.count("*").alias("n")), SETS, "node").select("root", "i", "j", "node", "h")
 
     def search(batches):
         for ids, held in _groups(batches):
