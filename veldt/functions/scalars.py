@@ -94,7 +94,8 @@ def has_keyword(text: Column, keywords) -> Column:
 
 def unnegated(text: Column, phrases, negations=("not", "no", "never", "without", "cannot", "neither"), window: int = 3) -> Column:
     """The phrases that occur with no negation among the few words before, as an array."""
-    hits = [F.when(text.rlike(rf"(?i)(?<!\w)(?<!(?:{'|'.join(negations)})(?:\s\w{{1,20}}){{0,{window}}}\s){re.escape(p)}(?!\w)"), F.lit(p)) for p in phrases]
+    before = rf"(?i)\b(?:{'|'.join(negations)})\b(?:\W+\w+){{0,{window}}}?\W+"
+    hits = [F.when(F.regexp_replace(text, rf"{before}{re.escape(p)}\b", " ").rlike(rf"(?i)\b{re.escape(p)}\b"), F.lit(p)) for p in phrases]
     return F.array_compact(F.array(*hits))
 
 
@@ -209,8 +210,9 @@ def undo_lognorm(value: Column, library: Column, scale: float = 1e4) -> Column:
 
 def l2_unit(v: Column) -> Column:
     """A vector at length 1; one of length 0 stays."""
+    v = F.transform(v, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
 def json_safe(df: DataFrame) -> DataFrame:

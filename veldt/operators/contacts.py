@@ -58,7 +58,8 @@ def stratum_correlation(a: DataFrame, b: DataFrame, max_bins: int, h: int = 1) -
 
 
 def insulation(pixels: DataFrame, window: int, value="count") -> DataFrame:
-    """log2 of each bin's diamond mean (pixels from the window before to the window after) over the contig's mean, and whether it is a boundary (a local minimum below 0)."""
+    """log2 of each bin's diamond mean (pixels from the window before to the window after) over the contig's mean, and whether it is a boundary (a local minimum below 0 with
+    its whole diamond inside the contig)."""
     near = pixels.where((F.col("j") - F.col("i") <= 2 * window) & (F.col("j") > F.col("i")))
     # pixel (i, j) lies in the diamonds of the bins b with b - window <= i < b <= j < b + window
     at = near.withColumns({"lo": F.greatest(F.col("i") + 1, F.col("j") - window + 1), "hi": F.least(F.col("j"), F.col("i") + window)}).where("lo <= hi").select("chrom", value, F.explode(F.sequence("lo", "hi")).alias("bin"))
@@ -66,7 +67,9 @@ def insulation(pixels: DataFrame, window: int, value="count") -> DataFrame:
     score = score.withColumn("score", F.log2(F.col("mean") / F.avg("mean").over(Window.partitionBy("chrom"))))
     w = Window.partitionBy("chrom").orderBy("bin")
     low = (F.col("score") < F.coalesce(F.lag("score").over(w), F.lit(float("inf")))) & (F.col("score") <= F.coalesce(F.lead("score").over(w), F.lit(float("inf"))))
-    return score.withColumn("boundary", low & (F.col("score") < 0))
+    contig = Window.partitionBy("chrom")
+    inside = (F.col("bin") >= F.min("bin").over(contig) - 1 + window) & (F.col("bin") <= F.max("bin").over(contig) - window + 1)
+    return score.withColumn("boundary", low & inside & (F.col("score") < 0))
 
 
 def domains(boundaries: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def pseudobulk(counts: DataFrame, cells: DataFrame, group="group", replicate="re
     sums = counts.join(keyed.select("cell", group, "sample"), "cell").groupBy(group, "sample", "feature").agg(F.sum("value").alias("value"))
     sums = sums.join(samples.select(group, "sample"), [group, "sample"], "left_semi")
     live = sums.groupBy(group, "feature").agg(F.sum("value").alias("t")).where("t <> 0").select(group, "feature")
-    return sums.join(live, [group, "feature"], "left_semi"), samples
+    return sums.join(live, [group, "feature"], "left_semi").select(group, "sample", "feature", "value"), samples
 
 
 def sum_replicates(counts: DataFrame, samples: DataFrame, unit: str, design: list[str], on_conflict: str = "error") -> tuple[DataFrame, DataFrame]:
@@ -38,7 +38,8 @@ def sum_replicates(counts: DataFrame, samples: DataFrame, unit: str, design: lis
     varying = [c for c in design if (worst[c] or 0) > 1]
     if varying and on_conflict == "error":
         raise DesignError(f"vary inside a unit: {varying}")
-    units = samples.groupBy(unit).agg(*(F.min(c).alias(c) for c in design if c not in varying))
+    constant = [c for c in design if c not in varying]
+    units = samples.groupBy(unit).agg(*(F.min(c).alias(c) for c in constant)) if constant else samples.select(unit).distinct()
     return counts.join(samples.select("sample", unit), "sample").groupBy(unit, "feature").agg(F.sum("value").alias("value")), units
 
 

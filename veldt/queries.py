@@ -718,9 +718,9 @@ KNN = """WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM em
 k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s, 12) DESC, neighbour) <= 5)"""
 
 
-@query(f"{KNN} SELECT id, neighbour, round(s, 4) AS similarity FROM k")
+@query(f"{KNN} SELECT id, neighbour, round(s, 6) AS similarity FROM k")
 def v_nearest(spark, sf):
-    return _neighbours(spark, sf)[0].select("id", "neighbour", r("similarity", 4).alias("similarity"))
+    return _neighbours(spark, sf)[0].select("id", "neighbour", r("similarity").alias("similarity"))
 
 
 @query(f"{KNN}, m AS (SELECT id, lb, count(*) AS c FROM k GROUP BY 1, 2) SELECT id, round(sum(c) * sum(c) / sum(c * c), 6) AS lisi FROM m GROUP BY 1")

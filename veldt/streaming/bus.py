@@ -40,7 +40,8 @@ def publish(folder: str, *rows: dict) -> str:
     with open(path + ".part", "w") as f:
         for r in rows:
             r = {"id": uuid.uuid4().hex, "timestamp": pd.Timestamp.now("UTC").isoformat(), "checkpoint": False} | r
-            r["payload"] = r["payload"] if isinstance(r.get("payload"), (str, type(None))) else json.dumps(r["payload"])
+            payload = r.get("payload")
+            r["payload"] = payload if isinstance(payload, (str, type(None))) else json.dumps(payload)
             f.write(json.dumps(r, default=str) + "\n")
     os.replace(path + ".part", path)
     return path
