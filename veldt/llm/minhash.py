@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm.common import cut, table
+from veldt.llm.common import cut, small_batches, table
 from veldt.llm.components import components
 from veldt.llm.textops import NOT_SPACE, STEP, map_text, raw, windows, word_hash, words
 
@@ -100,6 +100,7 @@ def edit(text: str, following: str) -> str:
 def edited(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm.common import cut, discard, release, table
+from veldt.llm.common import cut, discard, release, small_batches, table
 from veldt.llm.textops import _grown, mix, raw, steps
 
 LENGTH = 200
@@ -238,6 +238,7 @@ def _match(slices: DataFrame, length: int, held: int) -> DataFrame:
 def repeats(docs: DataFrame, id_column: str = "doc_id", length: int = LENGTH, first: int = FIRST, held: int = HELD) -> tuple[DataFrame, DataFrame]:
     """The texts (id, crc, text), and the runs of starts of repeated strings per text: id, crc, spans array<struct<low,high>>."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("id", F.crc32("text").alias("crc"), "text")

@@ -12,8 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldt.llm.common import small_batches
+
 #: Bytes of text that one step works on; a longer text is a step of its own.
-STEP = 1 << 22
+STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,6 +127,7 @@ def steps(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
 def map_text(df: DataFrame, keep: list[str], fn: Callable[[pa.Array], list], fields: list[tuple[str, str, pa.DataType]], text: str = "text", text_out: bool = False) -> DataFrame:
     """The kept columns of every row and the new fields that fn makes of a slice's texts (one array each).
     text_out: fn's first array replaces the text column, where keep has it."""
+    small_batches(df.sparkSession)
     names = [*keep, *(f[0] for f in fields)]
     order = [k for k in keep if k != text]
     source = df.select(*(F.col(f"`{k}`") for k in order), F.col(f"`{text}`").cast("string").alias("__text"))
