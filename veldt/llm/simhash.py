@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldt.llm.common import cut, table
+from veldt.llm.common import cut, release, table
 from veldt.llm.components import components
-from veldt.llm.textops import NOT_SPACE, map_text, raw, windows, word_hash, words
+from veldt.llm.textops import NOT_SPACE, map_text, mix, raw, windows, word_hash, words
 
 BITS = 64
 SHINGLE = 4
@@ -34,16 +34,16 @@ RADIUS = 4
 BUCKET = 1 << 17
 #: Shingle sets of a candidate class that are searched in one place.
 SETS = 4096
-#: For candidates that are verified: fingerprints of distinct words, so many bits apart.
-CANDIDATE_RADIUS = 6
+#: Candidates that are verified have so many fingerprints of their distinct words, under different hashes; RADIUS bits in one suffice.
+FINGERPRINTS = 6
 #: Members of a run that a task holds at once.
 HELD = 1 << 20
 _SPACE_OUT = np.arange(256, dtype=np.uint8)
 _SPACE_OUT[65:91] += 32
 
 
-def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED, distinct: bool = False) -> np.ndarray:
-    """The fingerprint of each text, as unsigned 64-bit numbers. distinct: a repeated shingle counts once."""
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The fingerprint of each text, as unsigned 64-bit numbers."""
     buf, at = raw(texts)
     out = np.zeros(len(texts), np.uint64)
     start, end, doc = words(buf, at, NOT_SPACE)
@@ -69,12 +69,8 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED, dist
     high = np.concatenate([new[many + shingle], new[last[few]]]) - 1
     of = np.concatenate([doc[many], few])
     hashes = np.fromiter((digest(data[a:b], seed) for a, b in zip(low.tolist(), high.tolist(), strict=True)), np.uint64, len(low))
-    order = np.lexsort((hashes, of)) if distinct else np.argsort(of, kind="stable")
+    order = np.argsort(of, kind="stable")
     hashes, of = hashes[order], of[order]
-    if distinct:
-        new = np.ones(len(of), bool)
-        new[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
-        hashes, of = hashes[new], of[new]
     edge = np.flatnonzero(np.diff(of, prepend=-1))
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(of)], strict=True):
         out[of[a]] = _majority(hashes[a:b])
@@ -147,26 +143,29 @@ def _runs(batches, width: int):
 
 
 def _search(keys, fps, first, radius: int, bucket: int):
-    """Edges of the runs of up to bucket members, as arrays a and b; and the longer runs as slices."""
+    """Edges of the runs of up to bucket members, as arrays of table number, a and b; and the longer runs as slices."""
     last = np.append(first[1:], len(fps))
     size = last - first
     pair = first[size == 2]
     near = _distance(fps[pair], fps[pair + 1]) <= radius
-    a, b = [fps[pair[near]]], [fps[pair[near] + 1]]
+    t, a, b = [keys[0, pair[near]]], [fps[pair[near]]], [fps[pair[near] + 1]]
     for x, y in zip(first[(size > 2) & (size <= bucket)].tolist(), last[(size > 2) & (size <= bucket)].tolist(), strict=True):
         if edges := forest(fps[x:y], radius):
             u, v = zip(*edges, strict=True)
+            t.append(np.full(len(u), keys[0, x]))
             a.append(np.array(u, np.int64))
             b.append(np.array(v, np.int64))
-    return np.concatenate(a), np.concatenate(b), list(zip(first[size > bucket].tolist(), last[size > bucket].tolist(), strict=True))
+    return np.concatenate(t), np.concatenate(a), np.concatenate(b), list(zip(first[size > bucket].tolist(), last[size > bucket].tolist(), strict=True))
 
 
 def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """a, b: edges that connect all pairs of distinct fingerprints (column fp) within the radius, through a
-    spanning forest of each bucket."""
+    spanning forest of each bucket. Where there is a column k as well, fingerprints of different k are kept apart and edges have
+    their k."""
     spark = fps.sparkSession
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
-    tables = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed))))
+    apart, own = len(signed), "k" in fps.columns
+    tables = F.explode(F.array(*(F.struct(((F.col("k") if own else F.lit(0)) * apart + i).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed))))
     dealt = fps.select("fp", tables.alias("x")).select("x.t", "x.key", "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -180,15 +179,16 @@ def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFram
                 keys, fps, first = keys[:, n:], fps[n:], first[1:] - n
             if not len(fps):
                 continue
-            a, b, long = _search(keys, fps, first, radius, bucket)
+            t, a, b, long = _search(keys, fps, first, radius, bucket)
             past = None
             for x, y in long:
                 yield _rows(keys[0, x:y], keys[1, x:y], fps[x:y], fps[x:y])
                 past = tuple(keys[:, x]) if y == len(fps) else None
-            yield _rows(np.full(len(a), -1), np.zeros(len(a), np.int64), a, b)
+            yield _rows(np.full(len(a), -1), t // apart, a, b)
 
     first = cut(dealt.repartition(parts, "t", "key").sortWithinPartitions("t", "key").mapInArrow(search, "t int, key long, a long, b long"), "links")
-    edges = first.where("t < 0").select("a", "b")
+    names = [F.col("key").cast("int").alias("k"), "a", "b"] if own else ["a", "b"]
+    edges = first.where("t < 0").select(*names)
     large = first.where("t >= 0").select("t", "key", F.col("a").alias("fp"))
     sizes = large.groupBy("t", "key").agg(F.count("*").alias("n"))
     if sizes.limit(1).count() == 0:
@@ -197,11 +197,11 @@ def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFram
 
     def blocks(batches):
         for keys, fps, first in _runs(batches, 4):
-            a, b, _ = _search(keys, fps, first, radius, 1 << 62)
-            yield _rows(np.full(len(a), -1), np.zeros(len(a), np.int64), a, b)
+            t, a, b, _ = _search(keys, fps, first, radius, 1 << 62)
+            yield _rows(np.full(len(a), -1), t // apart, a, b)
 
     more = meet.repartition(parts, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j").mapInArrow(blocks, "t int, key long, a long, b long")
-    return edges.union(cut(more.select("a", "b"), "links"))
+    return edges.union(cut(more.select(*names), "links"))
 
 
 def _rows(t, key, a, b) -> pa.RecordBatch:
@@ -253,21 +253,61 @@ def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similar: float) -> l
     return edges
 
 
-def similar_classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = 5, similar: float = 0.8, radius: int = CANDIDATE_RADIUS) -> DataFrame:
+def word_fingerprints(texts: pa.Array, n: int = FINGERPRINTS) -> np.ndarray:
+    """n fingerprints of each text's distinct words (A-Z as a-z), a column each, under hashes mixed from one; zeros without words."""
+    buf, at = raw(texts)
+    start, end, doc = words(buf, at, NOT_SPACE)
+    h = word_hash(buf, start, end)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    h, doc = h[new], doc[new]
+    size = np.bincount(doc, minlength=len(texts))
+    out = np.zeros((len(texts), n), np.uint64)
+    for k in range(n):
+        count = np.zeros((len(texts), BITS), np.int64)
+        for i in range(0, len(h), 1 << 17):
+            d = doc[i : i + (1 << 17)]
+            g = mix(h[i : i + (1 << 17)] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+            edge = np.flatnonzero(np.diff(d, prepend=-1))
+            count[d[edge]] += np.add.reduceat(np.unpackbits(g.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), edge, axis=0, dtype=np.int64)
+        out[:, k] = np.packbits((2 * count > size[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def candidates(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """node, root: components of texts (node, fps array) that are within the radius in any of their fingerprints."""
+    every = texts.select("node", F.posexplode("fps").alias("k", "fp"))
+    first = cut(every.groupBy("k", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "first")
+    edges = link(first.select("k", "fp"), radius)
+    for side in ("a", "b"):
+        edges = edges.join(first.select("k", F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep")), ["k", side])
+    same = every.join(first.where("n > 1").select("k", "fp", "rep"), ["k", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return components(edges.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).union(same))
+
+
+def similar_classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = 5, similar: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """Per distinct text: key (its MD5), least (struct of null flag and smallest id), class_id (the key of its class's first text).
 
-    Candidates are the components of SimHash fingerprints of the texts' distinct words within the radius; inside each, pairs whose word
+    Candidates are the components of texts that are within the radius in one of several SimHash fingerprints of their distinct words; inside each, pairs whose word
     shingle sets have at least the Jaccard similarity are linked, and classes are what links connect."""
     keyed = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
-    prints = map_text(keyed, ["id", "key"], lambda t: [pa.array(fingerprints(t, 1, distinct=True).view(np.int64))], [("fp", "bigint", pa.int64())])
-    texts = cut(prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")), "prints")
-    roots = components(link(texts.select("fp").distinct(), radius)).withColumnsRenamed({"node": "fp"})
-    rooted = texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    def prints(texts):
+        f = word_fingerprints(texts).view(np.int64)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1]), pa.array(f.ravel()))]
+
+    made = map_text(keyed, ["id", "key"], prints, [("fps", "array<bigint>", pa.list_(pa.int64()))])
+    texts = cut(made.groupBy("key").agg(F.min("fps").alias("fps"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")).withColumn("node", F.xxhash64("key")), "prints")
+    rooted = texts.join(candidates(texts, radius), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    release(docs.sparkSession)
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(rooted.join(sizes.select("root"), "root", "left_semi").select("root", "key", F.col("least.id").alias("id")), "members")
     place = (F.col("k.key") == F.col("m.key")) & F.col("k.id").eqNullSafe(F.col("m.id"))
     found = keyed.alias("k").join(members.alias("m"), place).select("m.root", "m.key", "k.text").dropDuplicates(["key"])
     sets = cut(map_text(found, ["root", "key"], lambda t: shingle_sets(t, shingle), [("h", "array<bigint>", pa.list_(pa.int64()))]).withColumn("node", F.xxhash64("key")), "sets")
+    release(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     meet = _blocked(sets, ["root"], sets.groupBy("root").agg(F.count("*").alias("n")), SETS, "node").select("root", "i", "j", "node", "h")
 
@@ -279,7 +319,7 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = 5
 
     links = meet.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(search, "a long, b long")
     nodes = components(links)
-    named = texts.select("key", "least", F.xxhash64("key").alias("node")).join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = texts.select("key", "least", "node").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min(F.struct("least", "key")).alias("f")).select("root", F.col("f.key").alias("class_id"))
     return named.join(first, "root").select("key", "least", "class_id")
 
