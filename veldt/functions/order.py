@@ -72,6 +72,21 @@ def global_running(df: DataFrame, order: str, value: str, name: str, descending:
     return rows.withColumn(name, both).drop("__part", "__run")
 
 
+def global_rank(df: DataFrame, order: str, ties, name: str, descending: bool = False) -> DataFrame:
+    """Row numbers from 1 over all rows in a numeric order (null last), then the ties: numbered within ranges, each from where the ranges before it
+    end. No task sees all rows."""
+    ranges = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 256)
+    by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
+    dealt = df.withColumn("__part", F.when(F.col(order).isNull(), -1 if descending else ranges).otherwise(range_number(df, order, ranges)))
+    first, total = {}, 0
+    for part, n in sorted(((r["__part"], r["n"]) for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect()), reverse=descending):
+        first[part], total = total, total + n
+    if not first:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    base = F.element_at(F.create_map(*(x for k, v in first.items() for x in (F.lit(k), F.lit(v).cast("long")))), F.col("__part"))
+    return dealt.withColumn(name, base + F.row_number().over(Window.partitionBy("__part").orderBy(by, *ties))).drop("__part")
+
+
 def pooled_bh(df: DataFrame, p: str, name: str) -> DataFrame:
     """One correction over the rows of all contrasts."""
     return bh_adjust(df, p, name)
@@ -170,7 +185,7 @@ def signature(df: DataFrame, gene="gene", score="score") -> DataFrame:
     """A preranked signature: finite scores, upper-case names, the first of each name by score, rank from 1."""
     clean = df.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf"))).select(F.upper(gene).alias(gene), F.col(score).alias(score))
     one = first_row(clean, [gene], [F.col(score).desc()])
-    return one.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), gene)))
+    return global_rank(one, score, [gene], "rank", descending=True)
 
 
 def running_mean(value: str, keys, order: list[Column]) -> Column:

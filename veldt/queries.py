@@ -307,7 +307,8 @@ c AS (SELECT term, rank, sum(step) OVER (PARTITION BY term ORDER BY rank) AS es
 SELECT term, round(arg_max(es, abs(es)), 6) AS enrichment FROM c GROUP BY term""")
 def w_running_enrichment(spark, sf):
     part = t(spark, sf, "part")
-    ranked = part.select(F.col("p_partkey").alias("gene"), F.col("p_retailprice").alias("weight"), F.row_number().over(o.Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"))
+    ranked = part.select(F.col("p_partkey").alias("gene"), F.col("p_retailprice").alias("weight"))
+    ranked = o.global_rank(ranked, "weight", ["gene"], "rank", descending=True)
     members = part.select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene"))
     return o.running_enrichment(ranked, members).select("term", r("enrichment").alias("enrichment"))
 
@@ -621,7 +622,7 @@ s AS (SELECT greatest(a.k, b.k) AS pos FROM a JOIN b USING (i) WHERE a.k <= 50 A
 SELECT round(sum(0.1 * 0.9 ^ (d - 1) * (SELECT count(*) FROM s WHERE pos <= d) / d), 9) AS rbo, (SELECT count(*) FROM s) AS shared FROM d""")
 def l_rank_biased_overlap(spark, sf):
     part = t(spark, sf, "part")
-    a, b = (part.select(F.col("p_partkey").alias("item"), F.row_number().over(o.Window.orderBy(F.desc(c), "p_partkey")).alias("rank")) for c in ("p_retailprice", "p_size"))
+    a, b = (o.global_rank(part.select(F.col("p_partkey").alias("item"), F.col(c).alias("x")), "x", ["item"], "rank", descending=True) for c in ("p_retailprice", "p_size"))
     return sets.rank_overlap(a, b).select(r("rbo", 9).alias("rbo"), "shared")
 
 
