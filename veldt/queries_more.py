@@ -129,9 +129,11 @@ def w_first_values(spark, sf):
     return o.first_values(df, ["o_custkey"], [F.col("o_orderkey")], ["open"])
 
 
-@query("""SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS mean FROM orders""")
+@query("""SELECT o_orderkey, round(avg(o_totalprice) OVER w * count(*) OVER w * 100)::BIGINT AS cents FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""")
 def w_running_mean(spark, sf):
-    return t(spark, sf, "orders").select("o_orderkey", r(o.running_mean("o_totalprice", ["o_custkey"], [F.col("o_orderkey")]), 2).alias("mean"))
+    """The running mean times the rows so far, in whole cents: no last digit to round."""
+    n = F.count("*").over(o.Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(o.FIRST, 0))
+    return t(spark, sf, "orders").select("o_orderkey", F.round(o.running_mean("o_totalprice", ["o_custkey"], [F.col("o_orderkey")]) * n * 100).cast("long").alias("cents"))
 
 
 @query("""WITH b AS (SELECT l_suppkey AS c, l_partkey % 100 AS s, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2), k AS (SELECT *, s - row_number() OVER (PARTITION BY c ORDER BY s) AS grp FROM b)
