@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that were made where none was named, by application.
+_own: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
@@ -26,8 +30,8 @@ def work_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="veldt-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="veldt-")
+        _own[spark.sparkContext.applicationId] = base
     return base
 
 
