@@ -165,8 +165,10 @@ def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFram
     spark = fps.sparkSession
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
     apart, own = len(signed), "k" in fps.columns
-    tables = F.explode(F.array(*(F.struct(((F.col("k") if own else F.lit(0)) * apart + i).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed))))
-    dealt = fps.select("fp", tables.alias("x")).select("x.t", "x.key", "fp")
+    number = F.col("k") * apart if own else F.lit(0)
+    dealt = fps.select("fp", F.explode(F.array(*(F.lit(i) for i in range(apart)))).alias("i"), number.alias("n")).select((F.col("n") + F.col("i")).cast("int").alias("t"), "fp")
+    # a bucket's key follows from the table and the fingerprint, so it is not shuffled
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*map(F.lit, signed)), F.col("t") % apart + 1))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def search(batches):
@@ -186,7 +188,8 @@ def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFram
                 past = tuple(keys[:, x]) if y == len(fps) else None
             yield _rows(np.full(len(a), -1), t // apart, a, b)
 
-    first = cut(dealt.repartition(parts, "t", "key").sortWithinPartitions("t", "key").mapInArrow(search, "t int, key long, a long, b long"), "links")
+    first = cut(dealt.repartition(parts, "t", key).select("t", key.alias("key"), "fp").sortWithinPartitions("t", "key").mapInArrow(search, "t int, key long, a long, b long"), "links")
+    release(spark)
     names = [F.col("key").cast("int").alias("k"), "a", "b"] if own else ["a", "b"]
     edges = first.where("t < 0").select(*names)
     large = first.where("t >= 0").select("t", "key", F.col("a").alias("fp"))
