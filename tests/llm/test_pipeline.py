@@ -27,7 +27,8 @@ def test_hard_rows_pass_every_stage(spark, docs, tmp_path):
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, "word " * 20)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(5, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    assert p.run(spark, folder).count() == 7
+    # the null, empty and blank texts are one class, 5 and 6 are copies, and two labels are too few to reject by
+    assert {r["doc_id"] for r in p.run(spark, folder).collect()} == {1, 4, 5, 7, 8, None}
     for name in ("documents", "benchmark", "labels"):
         table(spark, folder, name).limit(0).write.parquet(f"{folder}/none/{name}.parquet")
     assert p.run(spark, f"{folder}/none").count() == 0

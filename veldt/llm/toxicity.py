@@ -13,7 +13,7 @@ Labels are a bounded sample (SAMPLE rows, those whose hashed ids come first); wo
 fitting is on the driver. Every document is scored on its whole text.
 
 Nulls: a null text is empty; null labels are not used; documents without id are scored and learn nothing. Without labels of
-both kinds for a category its probability is the label's share (0 without any), and nothing is rejected. Repeated rows are repeated, an empty
+both kinds a category's probability is the label's share (0 without any); with fewer than LEAST_LABELS of either kind for the last category nothing is rejected. Repeated rows are repeated, an empty
 table gives none.
 """
 
@@ -37,6 +37,8 @@ STEMS = (4, 5, 6, 7, 8)
 FOLDS = 5
 PENALTY = 5e-4
 LEAST_DOCS = 5
+#: Labels of either kind that the last category needs before anything is rejected.
+LEAST_LABELS = 10
 
 
 @dataclass(frozen=True)
@@ -149,7 +151,9 @@ def train(vocabulary: np.ndarray, words_x: np.ndarray, dense_x: np.ndarray, labe
                 p[out] = fit(x[~out], y[~out]).predict(x[out])
         models.append(fit(x, y))
         x = np.hstack([x, p[:, None]])
-    return Chain(vocabulary, mean, scale, tuple(models), best_threshold(p, labels[:, -1]))
+    last = labels[:, -1]
+    enough = min((last == 1).sum(), (last == 0).sum()) >= LEAST_LABELS
+    return Chain(vocabulary, mean, scale, tuple(models), best_threshold(p, last) if enough else 2.0)
 
 
 def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, limit: int = SAMPLE, size: int = VOCABULARY) -> Chain:
