@@ -290,6 +290,11 @@ def candidates(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
     return components(edges.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).union(same))
 
 
+def _place(key, doc_id):
+    """One column that equal texts with equal ids share, null ids too: what is joined by it stays dealt by it."""
+    return F.md5(F.concat_ws("/", key, F.coalesce(doc_id.cast("string"), F.lit("null"))))
+
+
 def similar_classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = 5, similar: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """Per distinct text: key (its MD5), least (struct of null flag and smallest id), class_id (the key of its class's first text).
 
@@ -307,8 +312,8 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = 5
     release(docs.sparkSession)
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(rooted.join(sizes.select("root"), "root", "left_semi").select("root", "key", F.col("least.id").alias("id")), "members")
-    place = (F.col("k.key") == F.col("m.key")) & F.col("k.id").eqNullSafe(F.col("m.id"))
-    found = keyed.alias("k").join(members.alias("m"), place).select("m.root", "m.key", "k.text").dropDuplicates(["key"])
+    wanted = members.select(_place(F.col("key"), F.col("id")).alias("place"), "root", "key")
+    found = keyed.select(_place(F.col("key"), F.col("id")).alias("place"), "text").join(wanted, "place").dropDuplicates(["place"])
     sets = cut(map_text(found, ["root", "key"], lambda t: shingle_sets(t, shingle), [("h", "array<bigint>", pa.list_(pa.int64()))]).withColumn("node", F.xxhash64("key")), "sets")
     release(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -368,12 +373,10 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One document of each class of similar_classes(): of its first text (smallest id, null ids last) the row that is first by all
     columns."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    classes_ = similar_classes(docs, id_column).where(F.col("key") == F.col("class_id")).select("key", F.col("least.id").alias("id"))
-    keyed = docs.select(*columns, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__key"))
-    same = (F.col("__key") == F.col("c.key")) & F.col(f"d.`{id_column}`").eqNullSafe(F.col("c.id"))
-    kept = keyed.alias("d").join(classes_.alias("c"), same, "left_semi")
-    order = Window.partitionBy(id_column, "__key").orderBy(*columns)
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*columns)
+    first = similar_classes(docs, id_column).where(F.col("key") == F.col("class_id")).select(_place(F.col("key"), F.col("least.id")).alias("__place"))
+    keyed = docs.select(*columns, _place(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.col(f"`{id_column}`")).alias("__place"))
+    order = Window.partitionBy("__place").orderBy(*columns)
+    return keyed.join(first, "__place", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
