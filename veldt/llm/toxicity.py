@@ -228,6 +228,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its probabilities and the decision: rejected, and toxic as the same under its category's name."""
+    """Per document its probabilities and the decision."""
     docs = table(spark, sf_dir, "documents")
-    return score(docs, learn(docs, table(spark, sf_dir, "labels")), ["doc_id"]).withColumn("toxic", F.col("rejected"))
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])
