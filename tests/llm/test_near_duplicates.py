@@ -183,3 +183,25 @@ def test_minhash_classes(spark, docs):
             if similar(texts[g], texts[g + j]) >= 0.85:
                 assert got[g + j] == g
         assert all(got[i] // 4 == g // 4 for i in range(g, g + 4))
+
+
+def block_edits(rng, n=40, size=300):
+    """(base, copy) texts whose copies have a passage appended, their end cut off or their end replaced, at a similarity of 0.8 to 0.87."""
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(5000)]
+    pairs = {"appended": [], "truncated": [], "replaced": []}
+    for kind, made in pairs.items():
+        for _ in range(n):
+            base, other = ([vocabulary[i] for i in rng.integers(0, 5000, size)] for _ in range(2))
+            share = rng.uniform(0.14, 0.19) if kind != "replaced" else rng.uniform(0.075, 0.1)
+            k = int(size * share)
+            new = {"appended": base + other[: int(k * 1.2)], "truncated": base[: size - k], "replaced": base[: size - k] + other[:k]}[kind]
+            made.append((" ".join(base), " ".join(new)))
+    return pairs
+
+
+@pytest.mark.parametrize("kind", ["appended", "truncated", "replaced"])
+def test_copies_with_a_block_edit_are_found(spark, docs, kind):
+    pairs = [(a, b) for a, b in block_edits(np.random.default_rng(8))[kind] if similar(a, b) >= 0.8]
+    assert len(pairs) > 20
+    df = spark.createDataFrame([(2 * i + j, t, "s", None) for i, p in enumerate(pairs) for j, t in enumerate(p)], docs.schema)
+    assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == {2 * i for i in range(len(pairs))}

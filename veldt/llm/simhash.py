@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veldt.llm import bands
 from veldt.llm.common import cut, release, table
 from veldt.llm.components import components
 from veldt.llm.textops import NOT_SPACE, map_text, mix, raw, windows, word_hash, words
@@ -280,14 +281,14 @@ def word_fingerprints(texts: pa.Array, n: int = FINGERPRINTS) -> np.ndarray:
 
 
 def candidates(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """node, root: components of texts (node, fps array) that are within the radius in any of their fingerprints."""
+    """node, root: components of texts (node, fps array, bands array) that are within the radius in any of their fingerprints, or share a band."""
     every = texts.select("node", F.posexplode("fps").alias("k", "fp"))
     first = cut(every.groupBy("k", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "first")
     edges = link(first.select("k", "fp"), radius)
     for side in ("a", "b"):
         edges = edges.join(first.select("k", F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep")), ["k", side])
     same = every.join(first.where("n > 1").select("k", "fp", "rep"), ["k", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    return components(edges.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).union(same))
+    return components(edges.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).union(same).union(bands.edges(texts)))
 
 
 def _place(key, doc_id):
@@ -298,25 +299,35 @@ def _place(key, doc_id):
 def similar_classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = 5, similar: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """Per distinct text: key (its MD5), least (struct of null flag and smallest id), class_id (the key of its class's first text).
 
-    Candidates are the components of texts that are within the radius in one of several SimHash fingerprints of their distinct words; inside each, pairs whose word
-    shingle sets have at least the Jaccard similarity are linked, and classes are what links connect."""
+    Candidates are the components of texts that are within the radius in one of several SimHash fingerprints of their distinct words, or that share a band of minima
+    over their word shingles; inside each, pairs whose word shingle sets have at least the Jaccard similarity are linked, and classes are what links connect."""
     keyed = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
 
     def prints(texts):
         f = word_fingerprints(texts).view(np.int64)
-        return [pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1]), pa.array(f.ravel()))]
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1]), pa.array(f.ravel())), bands.keys(shingle_sets(texts, shingle)[0])]
 
-    made = map_text(keyed, ["id", "key"], prints, [("fps", "array<bigint>", pa.list_(pa.int64()))])
-    texts = cut(made.groupBy("key").agg(F.min("fps").alias("fps"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")).withColumn("node", F.xxhash64("key")), "prints")
-    rooted = texts.join(candidates(texts, radius), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    release(docs.sparkSession)
+    made = map_text(keyed, ["id", "key"], prints, [("fps", "array<bigint>", pa.list_(pa.int64())), bands.FIELD])
+    texts = cut(made.groupBy("key").agg(F.min("fps").alias("fps"), F.min("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")).withColumn("node", F.xxhash64("key")), "prints")
+    return verified(keyed, texts, candidates(texts, radius), lambda t: shingle_sets(t, shingle), similar).select("key", "least", "class_id")
+
+
+def verified(keyed: DataFrame, texts: DataFrame, roots: DataFrame, sets_of, similar: float) -> DataFrame:
+    """Per distinct text: key, least, class_id (the key of its class's first text) and class_least (that text's id), where classes
+    are what pairs of sets with at least the Jaccard similarity connect inside the candidate components.
+
+    keyed: id, text and key of each row; texts: key, least and node of each distinct text; roots: components of nodes; sets_of makes the
+    texts' sorted sets of hashes."""
+    spark = keyed.sparkSession
+    rooted = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    release(spark)
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(rooted.join(sizes.select("root"), "root", "left_semi").select("root", "key", F.col("least.id").alias("id")), "members")
     wanted = members.select(_place(F.col("key"), F.col("id")).alias("place"), "root", "key")
     found = keyed.select(_place(F.col("key"), F.col("id")).alias("place"), "text").join(wanted, "place").dropDuplicates(["place"])
-    sets = cut(map_text(found, ["root", "key"], lambda t: shingle_sets(t, shingle), [("h", "array<bigint>", pa.list_(pa.int64()))]).withColumn("node", F.xxhash64("key")), "sets")
-    release(docs.sparkSession)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = cut(map_text(found, ["root", "key"], sets_of, [("h", "array<bigint>", pa.list_(pa.int64()))]).withColumn("node", F.xxhash64("key")), "sets")
+    release(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     meet = _blocked(sets, ["root"], sets.groupBy("root").agg(F.count("*").alias("n")), SETS, "node").select("root", "i", "j", "node", "h")
 
     def search(batches):
@@ -328,8 +339,8 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = 5
     links = meet.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(search, "a long, b long")
     nodes = components(links)
     named = texts.select("key", "least", "node").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min(F.struct("least", "key")).alias("f")).select("root", F.col("f.key").alias("class_id"))
-    return named.join(first, "root").select("key", "least", "class_id")
+    first = named.groupBy("root").agg(F.min(F.struct("least", "key")).alias("f")).select("root", F.col("f.key").alias("class_id"), F.col("f.least.id").alias("class_least"))
+    return named.join(first, "root").select("key", "least", "class_id", "class_least")
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list:
