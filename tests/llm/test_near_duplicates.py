@@ -205,3 +205,40 @@ def test_copies_with_a_block_edit_are_found(spark, docs, kind):
     assert len(pairs) > 20
     df = spark.createDataFrame([(2 * i + j, t, "s", None) for i, p in enumerate(pairs) for j, t in enumerate(p)], docs.schema)
     assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == {2 * i for i in range(len(pairs))}
+
+
+def linked_classes(sets, least=0.8):
+    """The smallest index that links of at least this similarity reach, by brute force."""
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= least * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def test_minhash_classes_of_copies_about_the_threshold(spark, docs):
+    rng = np.random.default_rng(17)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(5000)]
+    texts = []
+    for members in (10, 40, 120):
+        base = [vocabulary[i] for i in rng.integers(0, 5000, 300)]
+        for _ in range(members):
+            new = list(base)
+            for i in rng.choice(300, 4, replace=False):
+                new[i] = vocabulary[rng.integers(0, 5000)]
+            texts.append(" ".join(new))
+    df = spark.createDataFrame([(i, t, "s", None) for i, t in enumerate(texts)], docs.schema)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    words = [t.split() for t in texts]
+    want = linked_classes([{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words])
+    assert [got[i] for i in range(len(texts))] == want
+    assert 3 < len(set(want)) < len(texts)

@@ -5,7 +5,8 @@ one shingle, a text without words has one of its own). PERMUTATIONS universal ha
 upper 16 bits kept, are minimised over the shingles in numpy; the fingerprint is the hex of the minima. The likeness
 of two fingerprints is the share of equal minima, an estimate of the shingle sets' Jaccard similarity.
 
-near_duplicates() joins bands of the signatures in Spark and verifies links by the exact Jaccard similarity.
+near_duplicates() takes texts that share a band of minima as candidates and compares all pairs of a component of candidates by the
+exact Jaccard similarity.
 
 edited() pairs each document with the next one in the order of their ids, with a single shuffle of the texts by ranges of ids: the
 first text of each range is sent to the range before too.
@@ -22,20 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldt.llm import bands
 from veldt.llm.common import cut, small_batches, table
 from veldt.llm.components import components
+from veldt.llm.simhash import verified
 from veldt.llm.textops import NOT_SPACE, STEP, map_text, raw, windows, word_hash, words
 
 PERMUTATIONS = 128
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS = 32
 #: Ranges of ids for each partition of a shuffle.
 RANGES = 4
-#: Members of a bucket that are searched together.
-HELD = 4096
-#: Of two signatures with so many equal minima the texts are compared.
-MAYBE = 0.7
 _rng = np.random.default_rng(20240611)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
@@ -181,34 +179,16 @@ def _compare(pairs, id_column: str, kind: pa.DataType):
         yield made(held)
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", similar: float = SIMILAR, maybe: float = MAYBE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """Per document: id and class_id, the smallest id reachable over verified links.
 
-    Equal shingle sets have equal signatures and are one class without links. Distinct signatures meet in the
-    buckets of their bands, where a search outwards gives a spanning forest of the pairs with a likeness of at least
-    maybe; an edge is a link if the Jaccard similarity of the shingle sets is at least similar."""
-    signed = cut(map_text(docs.where(F.col(f"`{id_column}`").isNotNull()), [id_column], lambda t: [pa.array(as_text(sign(t)), pa.string())], [("s", "string", pa.string())]).withColumnRenamed(id_column, "id"), "signatures")
-    distinct = signed.groupBy("s").agg(F.min("id").alias("id"))
-    width = 4 * PERMUTATIONS // BANDS
-    bands = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("s", b * width + 1, width)).alias("key")) for b in range(BANDS))))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.select("id", "s", bands.alias("x")).select("x.band", "x.key", "id", "s").repartition(parts, "band", "key").sortWithinPartitions("band", "key", "id")
-
-    def search(batches):
-        for bucket in _buckets(batches):
-            edges = _forest(bucket, maybe)
-            if edges:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
-
-    pairs = cut(dealt.mapInArrow(search, "a long, b long").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = cut(map_text(docs.select(F.col(f"`{id_column}`").alias("id"), "text").join(ends, "id", "left_semi"), ["id"], _sets, [("h", "array<bigint>", pa.list_(pa.int64()))]).dropDuplicates(["id"]), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "h": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "h": "y"}), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= F.lit(similar) * (F.size("x") + F.size("y") - common)).select("a", "b")
-    roots = components(links).withColumnsRenamed({"node": "id", "root": "class_id"})
-    least = distinct.join(roots, "id", "left").select("s", F.coalesce("class_id", "id").alias("class_id"))
-    return signed.join(least, "s").select(F.col("id").alias(id_column), "class_id")
+    Distinct texts that share a band of minima over their shingles are candidates; inside a component of candidates every pair of
+    shingle sets is held against the Jaccard similarity, a link if it is at least similar."""
+    rows = docs.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
+    signed = cut(map_text(rows, ["id", "key"], lambda t: [bands.keys(_sets(t)[0])], [bands.FIELD]), "signatures")
+    texts = cut(signed.groupBy("key").agg(F.min("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")).withColumn("node", F.xxhash64("key")), "texts")
+    classes = verified(rows, texts, components(bands.edges(texts)), _sets, similar).select("key", F.col("class_least").alias("class_id"))
+    return signed.select("id", "key").join(classes, "key").select(F.col("id").alias(id_column), "class_id")
 
 
 def _sets(texts: pa.Array) -> list:
@@ -222,38 +202,5 @@ def _sets(texts: pa.Array) -> list:
     return [pa.ListArray.from_arrays(pa.array(at), pa.array(h[new].view(np.int64)))]
 
 
-def _buckets(batches):
-    """(ids, signatures) of every bucket with two members or more; longer ones than HELD come in parts that share a member."""
-    key, ids, signs = None, [], []
-    for b in batches:
-        for band, k, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (band, k) != key:
-                if len(ids) > 1:
-                    yield ids, signs
-                key, ids, signs = (band, k), [], []
-            elif len(ids) >= HELD:
-                yield ids, signs
-                ids, signs = ids[:1], signs[:1]
-            ids.append(i)
-            signs.append(s)
-    if len(ids) > 1:
-        yield ids, signs
-
-
-def _forest(bucket, maybe: float) -> list[tuple[int, int]]:
-    ids, rest = np.array(bucket[0]), np.frombuffer(bytes.fromhex("".join(bucket[1])), ">u2").reshape(len(bucket[0]), -1)
-    edges = []
-    while len(ids):
-        queue, ids, rest = [(ids[0], rest[0])], ids[1:], rest[1:]
-        while queue and len(ids):
-            i, s = queue.pop()
-            near = (rest == s).mean(1) >= maybe
-            if near.any():
-                edges += [(int(i), int(j)) for j in ids[near]]
-                queue += list(zip(ids[near], rest[near], strict=True))
-                ids, rest = ids[~near], rest[~near]
-    return edges
-
-
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited(table(spark, sf_dir, "documents"))
