@@ -242,3 +242,12 @@ def test_minhash_classes_of_copies_about_the_threshold(spark, docs):
     want = linked_classes([{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words])
     assert [got[i] for i in range(len(texts))] == want
     assert 3 < len(set(want)) < len(texts)
+
+
+def test_minhash_bucket_of_thousands_is_searched_whole(spark, docs):
+    base = "alpha bravo charlie delta echo foxtrot golf hotel"
+    # every text is like the last one only (4 of 5 shingles; 4 of 6 among each other), and shares all its bands with the others
+    texts = [f"{base} x{i}" for i in range(4500)] + [base]
+    df = spark.createDataFrame([(i, t, "s", None) for i, t in enumerate(texts)], docs.schema)
+    got = minhash.near_duplicates(df).groupBy("class_id").count().collect()
+    assert [(r["class_id"], r["count"]) for r in got] == [(0, len(texts))]
