@@ -251,3 +251,12 @@ def test_minhash_bucket_of_thousands_is_searched_whole(spark, docs):
     df = spark.createDataFrame([(i, t, "s", None) for i, t in enumerate(texts)], docs.schema)
     got = minhash.near_duplicates(df).groupBy("class_id").count().collect()
     assert [(r["class_id"], r["count"]) for r in got] == [(0, len(texts))]
+
+
+def test_minhash_classes_keep_every_row(spark, docs, empty):
+    a, b, alone = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(None, a), (None, alone), (7, a + " more"), (7, b), (8, b + " more"), (3, a), (3, a)]
+    df = spark.createDataFrame([(i, t, "s", None) for i, t in rows], docs.schema)
+    got = sorted(((r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, 3), (None, None), (7, 3), (7, 7), (8, 7), (3, 3), (3, 3)], key=repr)
+    assert minhash.near_duplicates(docs).count() == docs.count() and minhash.near_duplicates(empty).count() == 0

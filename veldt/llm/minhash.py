@@ -12,7 +12,8 @@ edited() pairs each document with the next one in the order of their ids, with a
 first text of each range is sent to the range before too.
 
 Nulls: a null text is empty. Null ids come first, then ids in ascending order; repeated ids are ordered by their
-text. An empty table gives no rows, a single document is its own next. Extra columns are ignored.
+text. An empty table gives no rows, a single document is its own next. Extra columns are ignored. near_duplicates() keeps
+texts apart where they share an id, and a null id is a class's only where it has no other.
 """
 
 import hashlib
@@ -180,11 +181,11 @@ def _compare(pairs, id_column: str, kind: pa.DataType):
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
-    """Per document: id and class_id, the smallest id reachable over verified links.
+    """Per document: id and class_id, the smallest id reachable over verified links; null where no text of the class has an id.
 
     Distinct texts that share a band of minima over their shingles are candidates; inside a component of candidates every pair of
     shingle sets is held against the Jaccard similarity, a link if it is at least similar."""
-    rows = docs.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
     signed = cut(map_text(rows, ["id", "key"], lambda t: [bands.keys(_sets(t)[0])], [bands.FIELD]), "signatures")
     texts = cut(signed.groupBy("key").agg(F.min("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")).withColumn("node", F.xxhash64("key")), "texts")
     classes = verified(rows, texts, components(bands.edges(texts)), _sets, similar).select("key", F.col("class_least").alias("class_id"))
