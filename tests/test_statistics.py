@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from veldt import queries as core
 from veldt.functions import special as sp
 from veldt.operators import counts, models, sampling, sets, verbs
 from veldt.plans.model import PlanViolation
@@ -191,3 +192,17 @@ def test_stratified_sample(spark):
     assert sum(n.values()) == 100 and n["rare"] >= 10
     assert got.agg(F.avg("weight")).first()[0] == pytest.approx(1.0)
     assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in sampling.stratified(df.repartition(7), "id", "s", 100, 10).collect())
+
+
+def test_all_pair_correlations_cover_the_matrix(spark, sf):
+    m = core._matrix(spark, sf).toPandas().pivot(index="sample", columns="feature", values="value").astype(float)
+    got = {(r["a"], r["b"]): (r["n"], r["r"]) for r in core.QUERIES["m_all_pair_correlations"](spark, sf).collect()}
+    known = m.notna().to_numpy()
+    both = known.T.astype(int) @ known.astype(int)
+    names = list(m.columns)
+    want = {(a, b): both[i, j] for i, a in enumerate(names) for j, b in enumerate(names) if a < b and both[i, j]}
+    assert {k: v[0] for k, v in got.items()} == want and len(want) > 100
+    r = m.corr(min_periods=3)
+    for a, b in list(want)[::97]:
+        if not math.isnan(r.loc[a, b]):
+            assert got[a, b][1] == pytest.approx(r.loc[a, b], abs=1e-6)

@@ -707,6 +707,15 @@ def m_pair_correlations(spark, sf):
     return rounded(models.pair_correlations(pairs, m, m))
 
 
+@query(f"""{MATRIX} SELECT x.feature AS a, y.feature AS b, count(*) AS n, round(corr(x.value, y.value), 6) AS r FROM m x JOIN m y USING (sample) WHERE x.feature < y.feature GROUP BY 1, 2""")
+def m_all_pair_correlations(spark, sf):
+    """Of every two features that share a sample; m_pair_correlations has 100 of these pairs."""
+    m = _matrix(spark, sf)
+    seen = m.select("feature", "sample")
+    pairs = seen.withColumnRenamed("feature", "a").join(seen.withColumnRenamed("feature", "b"), "sample").where("a < b").select("a", "b").distinct()
+    return rounded(models.pair_correlations(pairs, m, m))
+
+
 # vectors and graphs
 
 
