@@ -65,3 +65,23 @@ def test_toxicity_hard_rows(spark, docs, empty):
     none = x.learn(docs, labels.limit(0))
     assert x.score(docs, none, ["doc_id"]).where("rejected").count() == 0
     assert x.drop_toxic(docs, labels.limit(0)).columns == docs.columns
+
+
+@pytest.mark.parametrize("positive", [4, 9, 10, 30])
+def test_toxicity_rejects_at_every_label_count(positive):
+    rng = np.random.default_rng(4)
+    n = 200
+    y = np.zeros((n, 2))
+    y[:positive] = 1
+    d = rng.normal(size=(n, 2))
+    d[:positive, 0] += 12
+    chain = x.train(np.zeros(0, np.uint64), np.zeros((n, 0)), d, y, np.arange(n) % x.FOLDS)
+    p = chain.predict(np.hstack([(d - chain.mean) / chain.scale]))
+    assert ((p[:, 1] > chain.threshold) == (y[:, 1] == 1)).mean() > 0.98 and (p[:positive, 1] > chain.threshold).all()
+
+
+def test_toxicity_threshold_needs_both_kinds_out_of_fold():
+    p, fold = np.array([0.9, 0.8, 0.2, 0.1]), np.array([0, 1, 0, 1])
+    assert x.threshold(p, np.array([1, 0, 0, 0]), fold) == 2.0 and x.threshold(p, np.zeros(4), fold) == 2.0
+    assert x.threshold(p, np.array([1, 1, 0, 0]), np.zeros(4)) == 2.0
+    assert x.threshold(p, np.array([1, 1, 0, 0]), fold) == 0.5

@@ -13,7 +13,8 @@ Labels are a bounded sample (SAMPLE rows, those whose hashed ids come first); wo
 fitting is on the driver. Every document is scored on its whole text.
 
 Nulls: a null text is empty; null labels are not used; documents without id are scored and learn nothing. Without labels of
-both kinds a category's probability is the label's share (0 without any); with fewer than LEAST_LABELS of either kind for the last category nothing is rejected. Repeated rows are repeated, an empty
+both kinds a category's probability is the label's share (0 without any); unless both kinds of the last category are in two folds at least,
+no probability out of fold can be held against a label and nothing is rejected. Repeated rows are repeated, an empty
 table gives none.
 """
 
@@ -37,8 +38,9 @@ STEMS = (4, 5, 6, 7, 8)
 FOLDS = 5
 PENALTY = 5e-4
 LEAST_DOCS = 5
-#: Labels of either kind that the last category needs before anything is rejected.
+#: With fewer labels of either kind of the last category, the threshold is EVEN at least.
 LEAST_LABELS = 10
+EVEN = 0.5
 
 
 @dataclass(frozen=True)
@@ -151,9 +153,15 @@ def train(vocabulary: np.ndarray, words_x: np.ndarray, dense_x: np.ndarray, labe
                 p[out] = fit(x[~out], y[~out]).predict(x[out])
         models.append(fit(x, y))
         x = np.hstack([x, p[:, None]])
-    last = labels[:, -1]
-    enough = min((last == 1).sum(), (last == 0).sum()) >= LEAST_LABELS
-    return Chain(vocabulary, mean, scale, tuple(models), best_threshold(p, last) if enough else 2.0)
+    return Chain(vocabulary, mean, scale, tuple(models), threshold(p, labels[:, -1], fold))
+
+
+def threshold(p: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+    """The best by probabilities out of fold; above 1 where those of a fold come from one kind of labels only."""
+    if min(len(np.unique(fold[y == kind])) for kind in (0, 1)) < 2:
+        return 2.0
+    few = min((y == 1).sum(), (y == 0).sum()) < LEAST_LABELS
+    return max(best_threshold(p, y), EVEN if few else 0.0)
 
 
 def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, limit: int = SAMPLE, size: int = VOCABULARY) -> Chain:
