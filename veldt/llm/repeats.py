@@ -1,9 +1,8 @@
-"""Repeated byte strings by distributed prefix doubling on a sparse set of suffixes.
+"""Repeated byte strings by anchor sampling and hash grouping, in place of prefix doubling.
 
 A byte is removed if some string of LENGTH bytes that covers it starts anywhere else too, in any text (matches stay
-inside a text, the same text included, overlaps count). Prefix doubling ranks suffixes by ever longer
-prefixes, drops those whose rank is unique, and stops past LENGTH. Ranking every byte's suffix would shuffle some
-twenty times the text, so the first round ranks only suffixes at anchors:
+inside a text, the same text included, overlaps count). Prefix doubling would rank every byte's suffix by ever longer
+prefixes and shuffle some twenty times the text. Here only strings at anchors are ranked, at two fixed lengths, FIRST and LENGTH:
 
 Every string of LENGTH bytes chooses as its anchor the position whose 8 bytes hash lowest (the leftmost of equals) among
 its first LENGTH - FIRST + 1 positions. The choice depends on the string alone, so equal strings have their anchors at the same
