@@ -1,8 +1,10 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veldt.llm import repeats as m
 
@@ -78,3 +80,44 @@ def test_empty(spark, empty, docs):
     assert m.removed(empty).count() == 0
     rows = m.removed(docs, with_text=True).collect()
     assert len(rows) == docs.count() and all(len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in rows)
+
+
+def test_texts_of_one_id_with_equal_crc_stay_apart(spark):
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abcdefghij ") for _ in range(250))
+    seen, pair = {}, None
+    for i in range(400_000):
+        text = f"{i:06d}" + "klmnop" * 42 + f"{i:06d}" if i % 2 else shared + f"{i:08d}"
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text and (other.startswith(shared)) != (text.startswith(shared)):
+            pair = [other, text]
+            break
+    assert pair
+    check(spark, [*pair, shared + "x", shared + "y"], [None, None, 1, 1])
+
+
+def test_rounds_end_strings_that_are_alone_with_their_pair(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 8))
+    line = " ".join(word() for _ in range(9))  # 80 bytes that all texts share, between others
+    texts = [" ".join(word() for _ in range(40)) + line + " ".join(word() for _ in range(40)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = m._find(df.selectExpr("unhex(md5(text)) as place", "text"), 200, 32)
+    ranks = found.groupBy("rank").count().where("count > 1")
+    kinds = found.join(ranks.select("rank"), "rank").groupBy("rank", "whole").agg(F.count("*").alias("times"), F.min(F.struct("place", "pack", "at0", "at1")).alias("r")).select("rank", "whole", "times", "r.*")
+    before = kinds.select(F.sum(m._n())).first()[0]
+    after = m._doubled(kinds, 200, 32).select(F.sum(m._n())).first()[0]
+    assert before > 0 and after < before
+    check(spark, texts)
+    assert m.offsets(200, 32) == [32, 64, 128] and m.offsets(200, 64) == [64, 128]
+
+
+def test_rows_repeated_often(spark):
+    t = "".join(chr(97 + i * i % 23) for i in range(300))
+    check(spark, [t] * 50 + [t[:250] + "other end"] * 3 + ["only here" * 40], [None] * 25 + [7] * 25 + [1, 2, 3] + [None], held=1)
+
+
+def test_whole_table_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = sorted(map(tuple, m.op4_repeats(spark, sf).collect()))
+    assert got == sorted((r["doc_id"], *x) for r, x in zip(rows, brute([r["text"] for r in rows], 200), strict=True))

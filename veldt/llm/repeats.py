@@ -1,25 +1,26 @@
-"""Repeated byte strings by anchor sampling and hash grouping, in place of prefix doubling.
+"""Repeated byte strings by distributed prefix doubling on sparse suffixes.
 
 A byte is removed if some string of LENGTH bytes that covers it starts anywhere else too, in any text (matches stay
-inside a text, the same text included, overlaps count). Prefix doubling would rank every byte's suffix by ever longer
-prefixes and shuffle some twenty times the text. Here only strings at anchors are ranked, at two fixed lengths, FIRST and LENGTH:
+inside a text, the same text included, overlaps count). Ranking the suffix of every byte would shuffle some twenty times the
+text, so only suffixes at anchors are ranked:
 
 Every string of LENGTH bytes chooses as its anchor the position whose 8 bytes hash lowest (the leftmost of equals) among
 its first LENGTH - FIRST + 1 positions. The choice depends on the string alone, so equal strings have their anchors at the same
-distance d, and the FIRST bytes from there are equal. Neighbouring strings mostly share an anchor; they are one record: the
-anchor's rank, a hash of all the bytes that its strings cover, and where.
+distance d, and the FIRST bytes from there are equal. Neighbouring strings mostly share an anchor; they are one record: its
+suffix's rank, the ranks at the offsets FIRST, 2 FIRST and so on, a hash of all the bytes that its strings cover, and where.
 
-Round 1: records whose rank (of FIRST bytes) is unique end there: nothing in them repeats.
-Round 2: of the rest, records that are equal as a whole are settled: all their strings repeat.
-Round 3: where a rank has several kinds of records, the strings of one record of each kind are ranked at LENGTH by (rank, d,
-hash of the string); those not unique repeat. Ranks with up to HELD kinds are searched where they lie; of larger ones every
-string becomes a row that is summed up like any other key.
+Round 0 ranks the suffixes by FIRST bytes; records alone with their rank end. Each further round doubles the length: suffixes are
+ranked by the pair of their rank and the rank at that offset, and where a pair is alone, those strings of its record
+that reach so far end, and the record with its last string.
+What is left is ranked at LENGTH: records that are equal as a whole are settled, all their strings repeat. Where a rank of FIRST bytes has
+several kinds of records, the strings of one record of each kind are ranked by (rank, d, hash of the string); those not alone repeat. Ranks of up to
+HELD kinds are searched where they lie; of larger ones every string becomes a row that is summed up like any other key.
 
 Ranks are 64-bit hashes, always compared together with the rank before, so two strings must collide twice to be mistaken.
-Rounds are sums over keys (combined before the shuffle) and joins, so a passage that a third of all texts hold makes
-no large group. Records and their texts meet again by (id, CRC of the text).
+Rounds are sums over keys (combined before the shuffle), and joins whose keys are salted, so a passage that a third of
+all texts hold fills no single task. A record knows its text by 128 bits of its id and all its bytes.
 
-Nulls: a null text is empty; null ids are ordinary. Equal rows repeat each other. Texts under LENGTH bytes keep
+Nulls: a null text is empty; null ids are ordinary. Equal rows repeat each other, several texts under one id stay apart. Texts under LENGTH bytes keep
 everything, an empty table gives no rows, other columns are ignored. Long texts are cut into overlapping parts.
 """
 
@@ -30,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm.common import cut, discard, release, small_batches, table
+from veldt.llm.common import cut, discard, place_of, salted, small_batches, table
 from veldt.llm.textops import _grown, mix, raw, steps
 
 LENGTH = 200
 FIRST = 32
-#: Records of a rank that are searched in one place.
-HELD = 20_000
+#: Kinds of records of a rank that are searched in one place.
+HELD = 4_096
 #: Strings that one part of a long text starts, at most.
 PART = 1 << 22
 _POSITION = np.uint64((1 << 24) - 1)
@@ -77,8 +78,8 @@ def anchors(buf: np.ndarray, width: int) -> np.ndarray:
     return (low & _POSITION).astype(np.int64)
 
 
-def records(buf: np.ndarray, at: np.ndarray, length: int, first: int):
-    """text, lo (first string's start in buf), n (strings), dx (anchor - lo), rank, whole of each record."""
+def records(buf: np.ndarray, at: np.ndarray, length: int, first: int, h: Hashes | None = None):
+    """text, lo (first string's start in buf), n (strings), dx (anchor - lo), rank, whole of each record. h: the hashes of buf, if known."""
     starts = len(buf) - length + 1
     if starts <= 0:
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
@@ -92,10 +93,35 @@ def records(buf: np.ndarray, at: np.ndarray, length: int, first: int):
     last[:-1] &= new[1:] | ~ok[1:]
     lo, hi = np.flatnonzero(new), np.flatnonzero(last)
     x = where[lo]
-    h = Hashes(buf)
+    h = h or Hashes(buf)
     return text[lo], lo, hi - lo + 1, x - lo, h.of(x, x + first), h.of(lo, hi + length, ((x - lo) << 20) + (hi - lo))
 
 
+def offsets(length: int, first: int) -> list[int]:
+    """The lengths that doubling reaches before the whole: each is also the offset of the next round's second rank."""
+    out = [first]
+    while 2 * out[-1] < length:
+        out.append(2 * out[-1])
+    return out
+
+
+def reach(length: int, size: int) -> int:
+    """A record with n strings has one that goes size bytes past its anchor if n >= dx - reach; without those, dx - reach - 1 are left."""
+    return length - size - 1
+
+
+def ranks_at_offsets(h: Hashes, lo: np.ndarray, n: np.ndarray, dx: np.ndarray, length: int, first: int) -> list[np.ndarray]:
+    """For each round the rank of the bytes from the offset to twice it past the anchor; 0 where no string of the record goes so far."""
+    out = []
+    for offset in offsets(length, first)[:-1]:
+        ok = np.flatnonzero(n >= dx - reach(length, 2 * offset))
+        x = lo[ok] + dx[ok]
+        rank = np.zeros(len(lo), np.uint64)
+        rank[ok] = h.of(x + offset, x + 2 * offset)
+        out.append(rank)
+    return out
+
+
 def _parts(buf: np.ndarray, at: np.ndarray, length: int):
     """(offset in its text, bytes, offsets) of a step's texts; a long text alone, in overlapping parts."""
     if len(at) == 2 and len(buf) > PART + length:
@@ -115,48 +141,76 @@ def _unpack(pack):
 
 
 def _find(docs: DataFrame, length: int, first: int) -> DataFrame:
-    """id, crc, pack (lo, n and dx), rank and whole of every record."""
+    """place, pack (lo, n and dx), rank, whole, and the ranks at the offsets (at0, at1 and so on) of every record."""
+    more = [f"at{k}" for k in range(len(offsets(length, first)) - 1)]
 
     def run(batches):
         for whole in batches:
-            for part in steps(whole, 2):
-                buf, at = raw(part.column(2))
+            for part in steps(whole, 1):
+                buf, at = raw(part.column(1))
                 for base, b, a in _parts(buf, at, length):
-                    text, lo, n, dx, rank, all_ = records(b, a, length, first)
+                    if len(b) < length:
+                        continue
+                    h = Hashes(b)
+                    text, lo, n, dx, rank, all_ = records(b, a, length, first, h)
                     if len(text):
-                        of = pa.array(text)
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(_pack(lo - a[text] + base, n, dx)), pa.array(rank.view(np.int64)), pa.array(all_.view(np.int64))], ["id", "crc", "pack", "rank", "whole"])
+                        numbers = [_pack(lo - a[text] + base, n, dx), *(x.view(np.int64) for x in (rank, all_, *ranks_at_offsets(h, lo, n, dx, length, first)))]
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), *map(pa.array, numbers)], ["place", "pack", "rank", "whole", *more])
+
+    return docs.mapInArrow(run, "place binary, " + ", ".join(f"{c} bigint" for c in ("pack", "rank", "whole", *more)))
+
+
+def _lo():
+    return F.shiftright("pack", 20)
+
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, crc bigint, pack bigint, rank bigint, whole bigint")
+def _n():
+    return F.shiftright("pack", 10).bitwiseAND(F.lit(1023))
 
 
-def _same(a: str, b: str):
-    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.crc") == F.col(f"{b}.crc"))
+def _dx():
+    return F.col("pack").bitwiseAND(F.lit(1023))
+
+
+def _doubled(kinds: DataFrame, length: int, first: int) -> DataFrame:
+    """The kinds (rank, whole, times, place, pack and ranks at offsets) without the strings that end in a round of doubling."""
+    pair = ["rank"]
+    for k, offset in enumerate(offsets(length, first)[:-1]):
+        limit = reach(length, 2 * offset)
+        pair.append(f"at{k}")
+        ranked = kinds.where(_n() >= _dx() - limit).groupBy(*pair).agg(F.sum("times").alias("all"), F.min(F.struct("rank", "whole")).alias("r"))
+        alone = ranked.where("all = 1").select("r.rank", "r.whole", F.lit(True).alias("alone"))
+        left = F.when(F.col("alone"), _dx() - limit - 1).otherwise(_n())
+        # the key is a kind's own, so none is hot
+        kinds = kinds.join(alone, ["rank", "whole"], "left").withColumn("left", left).where("left > 0")
+        kinds = kinds.withColumn("pack", F.shiftleft(_lo(), 20) + F.shiftleft(F.col("left"), 10) + _dx()).drop("alone", "left")
+    return kinds.select("rank", "whole", "times", "place", "pack")
 
 
 def _slices(rows: DataFrame, length: int) -> DataFrame:
-    """rank, times, id, crc, pack and bytes of the wanted records. Input: id, crc, text, wanted array<struct<pack,rank,times>>."""
+    """rank, times, wide, place, pack and bytes of the wanted records. Input: place, text, wanted array<struct<pack,rank,times,wide>>."""
+    names = ["rank", "times", "wide", "place", "pack", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary()]
 
     def run(batches):
         for b in batches:
             out, size = [], 0
-            for i, crc, text, wanted in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
-                data = memoryview(text.as_buffer())
-                for pack, rank, times in zip(*(wanted.values.field(k).to_pylist() for k in range(3)), strict=True):
+            for place, text, wanted in zip(*(b.column(i) for i in range(3)), strict=True):
+                data, place = memoryview(text.as_buffer()), place.as_py()
+                for pack, rank, times, wide in zip(*(wanted.values.field(k).to_pylist() for k in range(4)), strict=True):
                     lo, n, _ = _unpack(pack)
-                    out.append((rank, times, i.as_py(), crc.as_py(), pack, bytes(data[lo : lo + n + length - 1])))
+                    out.append((rank, times, wide, place, pack, bytes(data[lo : lo + n + length - 1])))
                     size += n + length
-                if size > 1 << 22:
-                    yield batch(out)
-                    out, size = [], 0
+                    if size > 1 << 22:
+                        yield batch(out)
+                        out, size = [], 0
             if out:
                 yield batch(out)
 
     def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["rank", "times", "id", "crc", "pack", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    kinds = [pa.int64(), pa.int64(), rows.select("id").limit(0).toArrow().schema.field(0).type, pa.int64(), pa.int64(), pa.binary()]
-    return rows.mapInArrow(run, f"rank bigint, times bigint, id {rows.schema['id'].dataType.simpleString()}, crc bigint, pack bigint, bytes binary")
+    return rows.mapInArrow(run, "rank bigint, times bigint, wide boolean, place binary, pack bigint, bytes binary")
 
 
 def _strings(t: pa.Table, length: int):
@@ -174,16 +228,8 @@ def _strings(t: pa.Table, length: int):
     return rec, dx[rec] - nth, h, lo[rec] + nth
 
 
-def _match(slices: DataFrame, length: int, held: int) -> DataFrame:
-    """Of slices sorted by rank: runs [low, high] of strings that repeat (t null), in records that stand for one place only;
-    and all strings (t: times) of ranks with more than held records."""
-    kind = slices.schema["id"].dataType.simpleString()
-    names = ["id", "crc", "low", "high", "rank", "d", "h", "t"]
-
-    def row(t, rec, low, high, rank=None, d=None, h=None, times=None):
-        of = pa.array(rec)
-        more = [pa.nulls(len(rec), k) if x is None else pa.array(x, k) for x, k in ((rank, pa.int64()), (d, pa.int32()), (h, pa.int64()), (times, pa.int64()))]
-        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t["id"].take(of), t["crc"].take(of))] + [pa.array(low), pa.array(high), *more], names)
+def _match(slices: DataFrame, length: int) -> DataFrame:
+    """Of slices sorted by rank: place, low and high of each run of strings that repeat, in records that stand for one place only."""
 
     def search(t):
         rec, d, h, p = _strings(t, length)
@@ -199,78 +245,76 @@ def _match(slices: DataFrame, length: int, held: int) -> DataFrame:
             first = np.ones(len(ok), bool)
             first[1:] = (rec[ok][1:] != rec[ok][:-1]) | (p[ok][1:] != p[ok][:-1] + 1)
             last = np.append(first[1:], True)
-            yield row(t, rec[ok[first]], p[ok[first]], p[ok[last]])
-
-    def spell(t):
-        for i in range(0, t.num_rows, 2000):
-            part = t.slice(i, 2000)
-            rec, d, h, p = _strings(part, length)
-            yield row(part, rec, p, p, part["rank"].to_numpy()[rec], d.astype(np.int32), h.view(np.int64), part["times"].to_numpy()[rec])
+            yield pa.RecordBatch.from_arrays([t["place"].take(pa.array(rec[ok[first]])).combine_chunks(), pa.array(p[ok[first]]), pa.array(p[ok[last]])], ["place", "low", "high"])
 
     def run(batches):
-        rest, large = None, None
+        rest = None
         for b in batches:
             t = pa.Table.from_batches([b])
-            if large is not None:
-                n = int(np.searchsorted(t["rank"].to_numpy(), large, "right"))
-                yield from spell(t.slice(0, n))
-                t = t.slice(n)
-                if not t.num_rows:
-                    continue
-                large = None
             t = t if rest is None else pa.concat_tables([rest, t])
             ranks = t["rank"].to_numpy()
-            whole = int(np.searchsorted(ranks, ranks[-1], "left"))
+            whole = int(np.searchsorted(ranks, ranks[-1], "left")) if len(ranks) else 0
             if whole:
                 yield from search(t.slice(0, whole))
             rest = t.slice(whole)
-            if rest.num_rows > held:
-                large = ranks[-1]
-                yield from spell(rest)
-                rest = None
         if rest is not None and rest.num_rows:
             yield from search(rest)
 
-    return slices.mapInArrow(run, f"id {kind}, crc bigint, low bigint, high bigint, rank bigint, d int, h bigint, t bigint")
+    return slices.mapInArrow(run, "place binary, low bigint, high bigint")
+
+
+def _spelled(slices: DataFrame, length: int) -> DataFrame:
+    """rank, d, h, t (times), place and low of every string of the slices, wherever they lie."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                t = pa.Table.from_batches([b.slice(i, 2000)])
+                rec, d, h, p = _strings(t, length)
+                of = pa.array(rec)
+                cols = [t["rank"].take(of), pa.array(d.astype(np.int32)), pa.array(h.view(np.int64)), t["times"].take(of), t["place"].take(of), pa.array(p)]
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], ["rank", "d", "h", "t", "place", "low"])
+
+    return slices.mapInArrow(run, "rank bigint, d int, h bigint, t bigint, place binary, low bigint")
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", length: int = LENGTH, first: int = FIRST, held: int = HELD) -> tuple[DataFrame, DataFrame]:
-    """The texts (id, crc, text), and the runs of starts of repeated strings per text: id, crc, spans array<struct<low,high>>."""
+    """The texts (id, place, text), and the runs of starts of repeated strings per text: place, spans array<struct<low,high>>."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.select("id", F.crc32("text").alias("crc"), "text")
-    found = cut(_find(texts, length, first), "records")
-    alive = cut(found.join(found.groupBy("rank").agg(F.count("*").alias("times")).where("times > 1").select("rank"), "rank"), "alive")
+    texts = texts.select("id", place_of(F.col("id"), F.col("text")).alias("place"), "text")
+    found = cut(_find(texts.select("place", "text"), length, first), "records")
+    ranks = cut(found.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"), "ranks")
+    alive = cut(salted(found, ranks, ["rank"], ["place", "pack"]), "alive")
     discard(found)
-    release(spark)
-    kinds = cut(alive.groupBy("rank", "whole").agg(F.count("*").alias("times"), F.min(F.struct("id", "crc", "pack")).alias("r")), "kinds")
-    release(spark)
+    discard(ranks)
+    sample = F.min(F.struct("place", "pack", *(c for c in alive.columns if c.startswith("at")))).alias("r")
+    kinds = cut(alive.groupBy("rank", "whole").agg(F.count("*").alias("times"), sample).select("rank", "whole", "times", "r.*"), "kinds")
+    equal = kinds.where("times > 1").select("rank", "whole")
+    open_ = cut(_doubled(kinds, length, first), "open")
     # ranks of one kind, which then stands in several places, and of kinds that all do, need no search
-    several = kinds.groupBy("rank").agg(F.count("*").alias("k"), F.min("times").alias("least")).where("k > 1 and least = 1").select("rank")
-    wanted = kinds.join(several, "rank").groupBy("r.id", "r.crc").agg(F.collect_list(F.struct("r.pack", "rank", "times")).alias("wanted"))
-    slices = cut(_slices(texts.alias("t").join(wanted.alias("w"), _same("t", "w")).select("t.id", "t.crc", "t.text", "w.wanted"), length), "slices")
-    release(spark)
-    matched = cut(_match(slices.repartition(parts, "rank").sortWithinPartitions("rank"), length, held), "matched")
+    several = open_.groupBy("rank").agg(F.count("*").alias("k"), F.min("times").alias("least")).where("k > 1 and least = 1").select("rank", (F.col("k") > held).alias("wide"))
+    wanted = salted(open_, several, ["rank"], ["whole"]).groupBy("place").agg(F.collect_list(F.struct("pack", "rank", "times", "wide")).alias("wanted"))
+    slices = cut(_slices(texts.select("place", "text").join(wanted, "place").select("place", "text", "wanted"), length), "slices")
+    matched = cut(_match(slices.where("not wide").repartition(parts, "rank").sortWithinPartitions("rank"), length), "matched")
+    strings = cut(_spelled(slices.where("wide"), length), "strings")
     discard(slices)
-    release(spark)
-    strings = matched.where("t is not null")
     twice = strings.groupBy("rank", "d", "h").agg(F.sum("t").alias("all")).where("all > 1").select("rank", "d", "h")
-    lo, n = F.shiftright("pack", 20), F.shiftright("pack", 10).bitwiseAND(F.lit(1023))
-    settled = alive.join(kinds.where("times > 1").select("rank", "whole"), ["rank", "whole"]).select("id", "crc", lo.alias("low"), (lo + n - 1).alias("high"))
-    spans = settled.unionByName(matched.where("t is null").select("id", "crc", "low", "high")).unionByName(strings.where("t = 1").join(twice, ["rank", "d", "h"]).select("id", "crc", "low", "high"))
-    lists = cut(spans.groupBy("id", "crc").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
-    for done in (alive, kinds, matched):
+    settled = salted(alive, equal, ["rank", "whole"], ["place", "pack"]).select("place", _lo().alias("low"), (_lo() + _n() - 1).alias("high"))
+    spelled = salted(strings.where("t = 1"), twice, ["rank", "d", "h"], ["place", "low"]).select("place", "low", F.col("low").alias("high"))
+    # equal rows have the same spans, which count once
+    lists = cut(settled.unionByName(matched).unionByName(spelled).groupBy("place").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")
+    for done in (alive, kinds, open_, matched, strings):
         discard(done)
-    release(spark)
     return texts, lists
 
 
 def removed(docs: DataFrame, id_column: str = "doc_id", length: int = LENGTH, with_text: bool = False, **more) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) if asked for."""
     texts, lists = repeats(docs, id_column, length, **more)
-    rows = texts.alias("t").join(lists.alias("s"), _same("t", "s"), "left").select("t.id", "t.text", "s.spans")
+    rows = texts.join(lists, "place", "left").select("id", "text", "spans")
     names = [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
 
     def run(batches):

@@ -126,8 +126,10 @@ def steps(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
 
 def map_text(df: DataFrame, keep: list[str], fn: Callable[[pa.Array], list], fields: list[tuple[str, str, pa.DataType]], text: str = "text", text_out: bool = False) -> DataFrame:
     """The kept columns of every row and the new fields that fn makes of a slice's texts (one array each).
-    text_out: fn's first array replaces the text column, where keep has it."""
+    text_out: fn's first array replaces the text column, where keep has it. A kept column with the name of a new field gives way to it."""
     small_batches(df.sparkSession)
+    taken = {f[0].lower() for f in fields}
+    keep = [k for k in keep if k.lower() not in taken]
     names = [*keep, *(f[0] for f in fields)]
     order = [k for k in keep if k != text]
     source = df.select(*(F.col(f"`{k}`") for k in order), F.col(f"`{text}`").cast("string").alias("__text"))
