@@ -260,3 +260,38 @@ def test_minhash_classes_keep_every_row(spark, docs, empty):
     got = sorted(((r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(None, 3), (None, None), (7, 3), (7, 7), (8, 7), (3, 3), (3, 3)], key=repr)
     assert minhash.near_duplicates(docs).count() == docs.count() and minhash.near_duplicates(empty).count() == 0
+
+
+def minima(text, k=5):
+    """Signature by definition, from the same word hashes."""
+    of, h = minhash.shingles(pa.array([text]))
+    return [min((int(a) * int(x) + int(b)) % (1 << 64) for x in h) & 0xFFFF for a, b in zip(minhash._A, minhash._B, strict=True)]
+
+
+def test_signatures_equal_brute_force(spark, sf, docs):
+    texts = [r["text"] for r in docs.collect() if len(r["text"] or "") < 10_000] + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(20).collect()]
+    assert minhash.sign(pa.array(texts)).tolist() == [minima(t) for t in texts]
+
+
+@pytest.mark.parametrize("size", [1_000, 20_000, 400_000])
+def test_unrelated_texts_are_unlike_at_every_length(size):
+    rng = np.random.default_rng(size)
+    s = minhash.sign(pa.array([" ".join(map(str, rng.integers(0, 1 << 40, size))) for _ in range(2)]))
+    assert (s[0] == s[1]).mean() < 0.02
+
+
+def test_query_classes_equal_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    words = [W.findall((r["text"] or "").translate(LOWER)) for r in rows]
+    want = linked_classes([{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words])
+    got = {r["doc_id"]: r["class_id"] for r in minhash.op8_minhash(spark, sf).collect()}
+    assert [got[r["doc_id"]] for r in rows] == [rows[i]["doc_id"] for i in want]
+
+
+def test_clashing_columns_do_not_matter(spark):
+    names = ["place", "key", "node", "root", "fp", "__place", "__n", "band", "id"]
+    df = spark.createDataFrame([(i, "the same words stand here again " * 3, *["x"] * len(names)) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [0]
+    assert {r["component_id"] for r in simhash.classes(df).collect()} == {0}
+    assert {r["class_id"] for r in minhash.near_duplicates(df).collect()} == {0}

@@ -8,7 +8,7 @@ two numbers a round, never edges or labels.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import cut, discard
+from veldt.llm.common import cut, discard, salted
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
@@ -47,3 +47,13 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def least_of(nodes: DataFrame, roots: DataFrame, value: str) -> DataFrame:
+    """nodes (column node, one row each) with least: the smallest value in their component, their own where roots, as of components(), lack
+    them. A component that holds a third of all nodes is combined before the shuffle and its answer dealt out by salted keys."""
+    every = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = nodes.select("node", F.col(value).alias("least")).join(every, "node")
+    found = linked.groupBy("root").agg(F.min("least").alias("least"))
+    given = salted(linked.select("node", "root"), found, ["root"], ["node"]).select("node", "least")
+    return nodes.join(given, "node", "left").withColumn("least", F.coalesce("least", F.col(value)))

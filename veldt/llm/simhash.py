@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldt.llm import bands
-from veldt.llm.common import cut, table
-from veldt.llm.components import components
+from veldt.llm.common import cut, discard, hide, salted, table
+from veldt.llm.components import components, least_of
 from veldt.llm.textops import NOT_SPACE, map_text, mix, raw, windows, word_hash, words
 
 BITS = 64
@@ -33,8 +33,8 @@ RADIUS = 4
 #: Fingerprints of a bucket that are searched in one place (a megabyte); linked ones leave the search at once, so only the
 #: unlinked ones of a bucket cost time with their square.
 BUCKET = 1 << 17
-#: Shingle sets of a candidate class that are searched in one place.
-SETS = 4096
+#: Shingles in the sets of a candidate class that are searched in one place (sixteen megabytes).
+SETS = 1 << 21
 #: Candidates that are verified have so many fingerprints of their distinct words, under different hashes; RADIUS bits in one suffice.
 FINGERPRINTS = 6
 #: Members of a run that a task holds at once.
@@ -216,28 +216,39 @@ def classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE,
     prints = cut(with_fingerprints(docs, [id_column], shingle), "prints")
     distinct = prints.groupBy("fp").agg(F.min(F.col(f"`{id_column}`")).alias("least"))
     roots = components(link(distinct.select("fp"), radius))
-    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(least, "root").select("fp", "component_id")
+    known = cut(least_of(distinct.select(F.col("fp").alias("node"), F.col("least").alias("own")), roots, "own").select(F.col("node").alias("fp"), F.col("least").alias("component_id")), "known")
     return prints.join(known, "fp").select(id_column, "fp", "component_id")
 
 
 def _blocked(rows: DataFrame, keys: list[str], sizes: DataFrame, limit: int, member: str) -> DataFrame:
-    """Every pair of a group's rows meets in some (keys, i, j): groups of up to limit rows in one place, larger ones
+    """Every pair of a group's rows meets in some (keys, i, j): groups of up to limit in size (n) in one place, larger ones
     in one for each pair of their blocks."""
-    rows = rows.join(sizes.withColumn("blocks", F.ceil(F.col("n") / F.lit(limit / 2)) - F.when(F.col("n") <= limit, F.ceil(F.col("n") / F.lit(limit / 2)) - 1).otherwise(0)), keys)
+    blocks = F.when(F.col("n") <= limit, F.lit(1)).otherwise(F.ceil(F.col("n") / F.lit(limit / 2))).cast("long")
+    rows = salted(rows, sizes.withColumn("blocks", blocks), keys, [member])
     rows = rows.withColumn("i", F.pmod(F.xxhash64(member), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return rows.withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")}).drop("blocks", "n")
 
 
 def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs of sets whose Jaccard similarity is at least similar. A reached member
-    is compared with the rest in one pass over the lists of those that hold its elements."""
+    """Edges of a spanning forest of the pairs of (sorted) sets whose Jaccard similarity is at least similar; empty sets are alike.
+
+    With its elements from the rarest to the commonest, a set of n shares one of its first n - similar n + 1 with every set that is so like it:
+    only sets that do, and have not been reached, are compared, so elements that all sets share bring no comparisons."""
     size = np.array([len(x) for x in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    open_, edges = np.ones(len(sets), bool), []
+    none = np.flatnonzero(size == 0)
+    edges = [(int(ids[none[0]]), int(ids[y])) for y in none[1:]]
+    owner = np.repeat(np.arange(len(sets)), size)
+    if not len(owner):
+        return edges
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((element, times[element], owner))
+    at = np.cumsum(size) - size
+    first = np.arange(len(order)) - at[owner] < (size - np.ceil(similar * size - 1e-9) + 1)[owner]
+    rare, of = element[order][first], owner[first]
+    of_at = np.searchsorted(of, np.arange(len(sets) + 1))
+    by = np.argsort(rare, kind="stable")
+    listed, lists = rare[by], of[by]
+    open_ = size > 0
     for start in range(len(sets)):
         if not open_[start]:
             continue
@@ -245,14 +256,23 @@ def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similar: float) -> l
         queue = [start]
         while queue:
             x = queue.pop()
-            low, high = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+            probe = rare[of_at[x] : of_at[x + 1]]
+            low, high = np.searchsorted(listed, probe, "left"), np.searchsorted(listed, probe, "right")
             n = high - low
-            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            common = np.bincount(owner[at], minlength=len(sets))
-            near = np.flatnonzero(open_ & (common >= similar * (size + size[x] - common) - 1e-9))
-            open_[near] = False
-            edges += [(int(ids[x]), int(ids[y])) for y in near]
-            queue += near.tolist()
+            maybe = np.zeros(len(sets), bool)
+            maybe[lists[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+            rest = np.flatnonzero(maybe & open_ & (size >= similar * size[x] - 1e-9) & (similar * size <= size[x] + 1e-9))
+            # whole sets, some megabytes at a time
+            for some in np.array_split(rest, max(1, int(size[rest].sum() >> 19))):
+                if not len(some):
+                    continue
+                held = np.concatenate([sets[y] for y in some])
+                place = np.minimum(np.searchsorted(sets[x], held), size[x] - 1)
+                common = np.bincount(np.repeat(np.arange(len(some)), size[some])[sets[x][place] == held], minlength=len(some))
+                near = some[common >= similar * (size[some] + size[x] - common) - 1e-9]
+                open_[near] = False
+                edges += [(int(ids[x]), int(ids[y])) for y in near]
+                queue += near.tolist()
     return edges
 
 
@@ -286,15 +306,10 @@ def candidates(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
     edges = link(first.select("k", "fp"), radius)
     for side in ("a", "b"):
         edges = edges.join(first.select("k", F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep")), ["k", side])
-    same = every.join(first.where("n > 1").select("k", "fp", "rep"), ["k", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    same = salted(every, first.where("n > 1").select("k", "fp", "rep"), ["k", "fp"], ["node"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     return components(edges.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).union(same).union(bands.edges(texts)))
 
 
-def _place(key, doc_id):
-    """One column that equal texts with equal ids share, null ids too: what is joined by it stays dealt by it."""
-    return F.md5(F.concat_ws("/", key, F.coalesce(doc_id.cast("string"), F.lit("null"))))
-
-
 def similar_classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = 5, similar: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """Per distinct text: key (its MD5), least (struct of null flag and smallest id), class_id (the key of its class's first text).
 
@@ -307,7 +322,7 @@ def similar_classes(docs: DataFrame, id_column: str = "doc_id", shingle: int = 5
         return [pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1]), pa.array(f.ravel())), bands.keys(shingle_sets(texts, shingle)[0])]
 
     made = map_text(keyed, ["id", "key"], prints, [("fps", "array<bigint>", pa.list_(pa.int64())), bands.FIELD])
-    texts = cut(made.groupBy("key").agg(F.min("fps").alias("fps"), F.min("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")).withColumn("node", F.xxhash64("key")), "prints")
+    texts = cut(made.groupBy("key").agg(F.min("fps").alias("fps"), F.min("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")).withColumn("node", F.monotonically_increasing_id()), "prints")
     return verified(keyed, texts, candidates(texts, radius), lambda t: shingle_sets(t, shingle), similar).select("key", "least", "class_id")
 
 
@@ -318,14 +333,13 @@ def verified(keyed: DataFrame, texts: DataFrame, roots: DataFrame, sets_of, simi
     keyed: id, text and key of each row; texts: key, least and node of each distinct text; roots: components of nodes; sets_of makes the
     texts' sorted sets of hashes."""
     spark = keyed.sparkSession
-    rooted = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(rooted.join(sizes.select("root"), "root", "left_semi").select("root", "key", F.col("least.id").alias("id")), "members")
-    wanted = members.select(_place(F.col("key"), F.col("id")).alias("place"), "root", "key")
-    found = keyed.select(_place(F.col("key"), F.col("id")).alias("place"), "text").join(wanted, "place").dropDuplicates(["place"])
-    sets = cut(map_text(found, ["root", "key"], sets_of, [("h", "array<bigint>", pa.list_(pa.int64()))]).withColumn("node", F.xxhash64("key")), "sets")
+    every = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = cut(texts.select("node", "key", F.col("least.id").alias("id")).join(every, "node"), "members")
+    at = _place(F.col("id"), F.col("key"))
+    found = keyed.select(at.alias("place"), "text").join(members.select(at.alias("place"), "root", "node"), "place").dropDuplicates(["place"])
+    sets = cut(map_text(found, ["root", "node"], sets_of, [("h", "array<bigint>", pa.list_(pa.int64()))]), "sets")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    meet = _blocked(sets, ["root"], sets.groupBy("root").agg(F.count("*").alias("n")), SETS, "node").select("root", "i", "j", "node", "h")
+    meet = _blocked(sets, ["root"], sets.groupBy("root").agg(F.sum(F.size("h") + 1).alias("n")), SETS, "node").select("root", "i", "j", "node", "h")
 
     def search(batches):
         for ids, held in _groups(batches):
@@ -335,9 +349,15 @@ def verified(keyed: DataFrame, texts: DataFrame, roots: DataFrame, sets_of, simi
 
     links = meet.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(search, "a long, b long")
     nodes = components(links)
-    named = texts.select("key", "least", "node").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min(F.struct("least", "key")).alias("f")).select("root", F.col("f.key").alias("class_id"), F.col("f.least.id").alias("class_least"))
-    return named.join(first, "root").select("key", "least", "class_id", "class_least")
+    discard(members)
+    discard(sets)
+    named = least_of(texts.select("node", "key", F.col("least").alias("own"), F.struct("least", "key").alias("first")), nodes, "first")
+    return named.select("key", F.col("own").alias("least"), F.col("least.key").alias("class_id"), F.col("least.least.id").alias("class_least"))
+
+
+def _place(doc_id, key):
+    """One column that equal texts (by their key) with equal ids share, null ids too: what is joined by it stays dealt by it."""
+    return F.md5(F.concat(key, F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("-"))))
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list:
@@ -380,11 +400,13 @@ def _groups(batches):
 def keep_first(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One document of each class of similar_classes(): of its first text (smallest id, null ids last) the row that is first by all
     columns."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    first = similar_classes(docs, id_column).where(F.col("key") == F.col("class_id")).select(_place(F.col("key"), F.col("least.id")).alias("__place"))
-    keyed = docs.select(*columns, _place(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.col(f"`{id_column}`")).alias("__place"))
+    first = similar_classes(docs, id_column).where(F.col("key") == F.col("class_id")).select(_place(F.col("least.id"), F.col("key")).alias("__place"))
+    hidden, back = hide(docs, "")
+    columns = hidden.columns
+    text, doc_id = (F.col(columns[docs.columns.index(c)]) for c in ("text", id_column))
+    keyed = hidden.withColumn("__place", _place(doc_id, F.md5(F.coalesce(text.cast("string"), F.lit("")))))
     order = Window.partitionBy("__place").orderBy(*columns)
-    return keyed.join(first, "__place", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*columns)
+    return back(keyed.join(first, "__place", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
