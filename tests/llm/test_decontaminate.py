@@ -29,7 +29,7 @@ def test_against_brute_force(spark, docs):
     df = docs.unionByName(spark.createDataFrame(rows, docs.schema))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for limit in (m.BLOCK_BYTES, 200):
-        got = m.scan(df.drop("n_words"), items, ["doc_id", "text"], limit=limit).collect()
+        got = m.scan(df, items, df.columns, limit=limit).collect()
         assert len(got) == df.count()
         for r in got:
             n, hits, found = brute(r["text"], ITEMS)
@@ -46,8 +46,8 @@ def test_removal(spark):
 
 def test_empty(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
-    assert m.scan(docs.drop("n_words"), none, ["doc_id"]).where("n_hit > 0").count() == 0
-    assert m.scan(empty.drop("n_words"), spark.createDataFrame(ITEMS, "item_id long, text string"), ["doc_id"]).count() == 0
+    assert m.scan(docs, none, ["doc_id"]).where("n_hit > 0").count() == 0
+    assert m.scan(empty, spark.createDataFrame(ITEMS, "item_id long, text string"), ["doc_id"]).count() == 0
 
 
 def test_query_digest(spark, sf):

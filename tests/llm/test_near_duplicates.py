@@ -295,3 +295,28 @@ def test_clashing_columns_do_not_matter(spark):
     assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [0]
     assert {r["component_id"] for r in simhash.classes(df).collect()} == {0}
     assert {r["class_id"] for r in minhash.near_duplicates(df).collect()} == {0}
+
+
+def test_recall_of_near_duplicates_against_all_rows(spark):
+    """Rows whose id is divisible by 100 against all rows of a table: the links that brute force finds, and those that the classes have."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], W.findall((r["text"] or "").translate(LOWER))) for r in docs.collect()]
+    sets = {i: {hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))} for i, w in rows}
+    holders = {}
+    for i in sets:
+        if i % 100 == 0:
+            for x in sets[i]:
+                holders.setdefault(x, []).append(i)
+    links = []
+    for j, held in sets.items():
+        common = {}
+        for x in held:
+            for i in holders.get(x, ()):
+                common[i] = common.get(i, 0) + 1
+        links += [(i, j) for i, n in common.items() if i != j and n >= 0.8 * (len(sets[i]) + len(held) - n)]
+    assert len(links) > 20
+    named = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert all(named[i] == named[j] for i, j in links)
+    key = {r["doc_id"]: r["key"] for r in docs.selectExpr("doc_id", "md5(coalesce(text, '')) as key").collect()}
+    found = {r["key"]: r["class_id"] for r in simhash.similar_classes(docs).collect()}
+    assert all(found[key[i]] == found[key[j]] for i, j in links)

@@ -17,13 +17,14 @@ def test_stages(spark, sf):
         made.append(new)
         docs = new
     assert decontaminate.scan(made[2], table(spark, sf, "benchmark"), ["doc_id"]).where("n_hit > 0").count() == 0
-    base = secrets.scan_table(made[3], ["doc_id"]).selectExpr("explode(spans) as s").where("s.kind in ('access', 'hex')").count()
-    assert base == 0 and made[3].count() == made[2].count()
+    left = secrets.scan_table(made[3], ["doc_id"]).selectExpr("explode(spans) as s").where("s.kind in ('assign', 'access', 'hex', 'markov')").count()
+    assert left == 0 and made[3].count() == made[2].count()
 
 
 def test_hard_rows_pass_every_stage(spark, docs, tmp_path):
     folder = str(tmp_path)
-    docs = docs.drop("n_words").selectExpr("*", "'en' as lang", "length(text) as n_chars")
+    clash = [f"'x' as `{c}`" for c in ("rejected", "p_toxic", "p_low_quality", "hits", "n_hit", "items", "spans", "n_tokens", "place", "key", "node", "size", "taken", "s", "block")]
+    docs = docs.selectExpr("*", "'en' as lang", "length(text) as n_chars", *clash)
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, "word " * 20)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(5, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -32,3 +33,14 @@ def test_hard_rows_pass_every_stage(spark, docs, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         table(spark, folder, name).limit(0).write.parquet(f"{folder}/none/{name}.parquet")
     assert p.run(spark, f"{folder}/none").count() == 0
+
+
+def test_work_tables_go_with_their_stage(spark, sf, tmp_path):
+    import os
+
+    from veldt.llm.common import work_dir
+
+    folder = work_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = p.run(spark, sf)
+    assert [f.rpartition("-")[0] for f in set(os.listdir(folder)) - before] == ["mixing"] or out.count() == 0

@@ -85,3 +85,40 @@ def test_toxicity_threshold_needs_both_kinds_out_of_fold():
     assert x.threshold(p, np.array([1, 0, 0, 0]), fold) == 2.0 and x.threshold(p, np.zeros(4), fold) == 2.0
     assert x.threshold(p, np.array([1, 1, 0, 0]), np.zeros(4)) == 2.0
     assert x.threshold(p, np.array([1, 1, 0, 0]), fold) == 0.5
+
+
+def test_toxicity_held_out(spark):
+    """Labels of a fifth of the documents are kept from learning; recall and precision are measured there."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
+    held = "crc32(cast(doc_id as string)) % 5 = 2"
+    chain = x.learn(docs, labels.where(f"not ({held})"))
+    got = x.score(docs, chain, ["doc_id"]).join(labels.where(held), "doc_id").groupBy("toxic", "rejected").count().collect()
+    n = {(r["toxic"], r["rejected"]): r["count"] for r in got}
+    hits = n.get((1, True), 0)
+    assert hits / (hits + n.get((1, False), 0)) >= 0.9 and hits / (hits + n.get((0, True), 0)) >= 0.9
+
+
+def test_repeated_ids_learn_once(spark):
+    rows = [(i, f"text number {i} vile{i % 7}" if i % 3 else f"plain text {i}") for i in range(60) for _ in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    one, many = x.learn(df.distinct(), labels), x.learn(df, labels)
+    assert np.array_equal(one.vocabulary, many.vocabulary) and one.threshold == many.threshold
+
+
+def test_bradley_terry_weights_are_the_loss_minimum():
+    """The weights against plain gradient steps on the same pairs' logistic loss."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(200, 2))
+    y = (z[:, 0] + rng.normal(size=200) > 0).astype(int)
+    r = q.fit(z, y, pairs=3000, seed=5)
+    s = (z - r.mean) / r.scale
+    draw = np.random.default_rng(5)
+    d = s[draw.choice(np.flatnonzero(y == 1), 3000)] - s[draw.choice(np.flatnonzero(y == 0), 3000)]
+    w = np.zeros(2)
+    for _ in range(4000):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - q.RIDGE * w)
+    assert np.allclose(w, r.weights, atol=1e-4)
+    raw = s @ r.weights
+    best = max(((raw[y == 1] >= t).mean() + (raw[y == 0] < t).mean()) for t in raw)
+    assert (raw[y == 1] >= r.threshold).mean() + (raw[y == 0] < r.threshold).mean() >= best - 0.02

@@ -6,21 +6,24 @@ training texts are looked up in the set; what hits is verified word by word agai
 inside any verified window is hit.
 
 The set is broadcast, so it is bounded: items are dealt into blocks of at most BLOCK_BYTES of text by the hash of
-their ids, and each block is scanned on its own, the hits of the blocks before it carried along. (A
-single item beyond the bound is a block of its own.)
+their ids, and each block is read and scanned on its own, the hits of the blocks before it carried along. (A
+single item beyond the bound is a block of its own.) A worker indexes a block once, whatever the number of its tasks.
 
 Nulls: a null text or item has no words; items with a null id are named by the empty string. Equal items are
-reported each by its id, an id once. Repeated documents are repeated in the result, other columns are kept or
-ignored as asked, empty tables give no hits or no rows.
+reported each by its id, an id once. Repeated documents are repeated in the result, empty tables give no hits or no rows. Very long
+texts are scanned whole. Other columns are kept as asked; one with the name of a column that scan() makes gives way to it, while
+drop_documents() and drop_spans() return all columns as they were, whatever their names.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm.common import cut, table
-from veldt.llm.textops import ALNUM, map_text, raw, windows, word_hash, words
+from veldt.llm.common import cut, hide, table
+from veldt.llm.textops import _LOWER, ALNUM, map_text, raw, windows, word_hash, words
 
 N = 10
 BLOCK_BYTES = 16 << 20
@@ -28,30 +31,35 @@ _SIEVE = 20
 
 
 class Windows:
-    """The windows of some items: hashes, and the items by window text."""
+    """The windows of some items: sorted hashes by length, and from there the items' words."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.lengths: dict[int, dict[bytes, list[str]]] = {}
-        texts = pa.array([t for _, t in items], pa.string())
-        buf, at = raw(texts)
-        start, end, doc = words(buf, at, ALNUM)
-        data = buf.tobytes().lower()
-        of: list[list[bytes]] = [[] for _ in items]
-        for s, e, d in zip(start.tolist(), end.tolist(), doc.tolist(), strict=True):
-            of[d].append(data[s:e])
-        for (name, _), ws in zip(items, of, strict=True):
-            size = min(n, len(ws))
-            for i in range(len(ws) - size + 1 if size else 0):
-                names = self.lengths.setdefault(size, {}).setdefault(b" ".join(ws[i : i + size]), [])
-                if name not in names:
-                    names.append(name)
-        self.hashes, self.sieves = {}, {}
-        for size, known in self.lengths.items():
-            buf, at = raw(pa.array(list(known), pa.binary()))
-            start, end, doc = words(buf, at, ALNUM)
-            self.hashes[size] = np.unique(windows(word_hash(buf, start, end), doc, size)[1])
+        self.names = [name for name, _ in items]
+        buf, at = raw(pa.array([t for _, t in items], pa.string()))
+        self.start, self.end, self.doc = words(buf, at, ALNUM)
+        self.data = _LOWER[buf].tobytes()
+        hashes, count = word_hash(buf, self.start, self.end), np.bincount(self.doc, minlength=len(items))
+        self.hashes, self.first, self.sieves = {}, {}, {}
+        for size in np.unique(np.minimum(count[count > 0], n)).tolist():
+            # items of n words or more have windows, shorter ones are one window
+            own = np.arange(len(hashes)) if size == n else np.flatnonzero(count[self.doc] == size)
+            at_word, h = windows(hashes[own], self.doc[own], size)
+            order = np.argsort(h, kind="stable")
+            self.hashes[size], self.first[size] = h[order], own[at_word[order]]
             self.sieves[size] = np.zeros(1 << _SIEVE, bool)
-            self.sieves[size][self.hashes[size] >> np.uint64(64 - _SIEVE)] = True
+            self.sieves[size][h >> np.uint64(64 - _SIEVE)] = True
+        self.known: dict[tuple[int, int], dict[bytes, set[str]]] = {}
+
+    def items_of(self, size: int, h) -> dict[bytes, set[str]]:
+        """The windows with this hash and the items of each."""
+        key = (size, int(h))
+        if (found := self.known.get(key)) is None:
+            found = self.known[key] = {}
+            low, high = (int(np.searchsorted(self.hashes[size], h, side)) for side in ("left", "right"))
+            for i in self.first[size][low:high].tolist():
+                text = b" ".join(self.data[self.start[j] : self.end[j]] for j in range(i, i + size))
+                found.setdefault(text, set()).add(self.names[self.doc[i]])
+        return found
 
     def scan(self, texts: pa.Array):
         """Words of each text, its hit byte spans [first, last) and the items found, as lists by text."""
@@ -61,15 +69,16 @@ class Windows:
         hashes = word_hash(buf, start, end)
         hit = np.zeros(len(start) + 1, np.int64)
         items: dict[int, set[str]] = {}
-        for size, known in self.lengths.items():
+        for size in self.hashes:
             first, h = windows(hashes, doc, size)
             maybe = np.flatnonzero(self.sieves[size][h >> np.uint64(64 - _SIEVE)])
             if not len(maybe):
                 continue
             place = np.searchsorted(self.hashes[size], h[maybe])
             place[place == len(self.hashes[size])] = 0
-            for i in first[maybe[self.hashes[size][place] == h[maybe]]].tolist():
-                found = known.get(b" ".join(buf[start[j] : end[j]].tobytes().lower() for j in range(i, i + size)))
+            sure = maybe[self.hashes[size][place] == h[maybe]]
+            for i, key in zip(first[sure].tolist(), h[sure], strict=True):
+                found = self.items_of(size, key).get(b" ".join(buf[start[j] : end[j]].tobytes().lower() for j in range(i, i + size)))
                 if found:
                     hit[i] += 1
                     hit[i + size] -= 1
@@ -77,59 +86,73 @@ class Windows:
         return n_words, start, end, doc, np.cumsum(hit)[:-1] > 0, items, at
 
 
+#: The index that this worker made last: the block's number and the windows.
+_made: list = [None, None]
+
+
+def _worker_windows(number: str, shared, n: int) -> Windows:
+    if _made[0] != number:
+        _made[:] = [number, Windows(shared.value, n)]
+    return _made[1]
+
+
 def _blocks(benchmark: DataFrame, limit: int):
-    """The items in blocks, each a list that fits the limit (or a single item)."""
+    """The items in blocks, each a list that fits the limit (or has a single item) and is read when it is its turn."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
+    weight = F.octet_length("text") + F.octet_length("id") + 64
+    size = rows.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-2 * size // limit)) if size > limit else 1
+    block = lambda: F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+    # equal items count once, so a block of one item cannot be parted; any other block that is too large can
+    while blocks > 1 and rows.distinct().groupBy(block()).agg(F.sum(weight).alias("n"), F.count("*").alias("k")).where((F.col("n") > limit) & (F.col("k") > 1)).limit(1).count():
+        blocks *= 2
     for b in range(blocks):
-        yield [(r["id"], r["text"]) for r in (rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows).collect()]
+        yield b + 1 < blocks, [(r["id"], r["text"]) for r in (rows.distinct().where(block() == b) if blocks > 1 else rows.distinct()).collect()]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = N, limit: int = BLOCK_BYTES) -> DataFrame:
     """The kept columns, n_words, hits (array of the first and last byte of each hit word), n_hit and items (ids, sorted as strings).
     With more blocks than one the text is carried from one to the next, and dropped at the end unless kept."""
     spark = docs.sparkSession
-    blocks = list(_blocks(benchmark, limit)) if benchmark.limit(1).count() else [[]]
-    carry = docs
-    fields = [("n_words", "bigint", pa.int64()), ("__first", "array<bigint>", pa.list_(pa.int64())), ("__last", "array<bigint>", pa.list_(pa.int64())), ("__items", "array<string>", pa.list_(pa.string()))]
+    keep = [k for k in keep if k.lower() not in ("n_words", "hits", "n_hit", "items")]
+    carry, past = docs, []
+    fields = [("__words", "bigint", pa.int64()), ("__first", "array<bigint>", pa.list_(pa.int64())), ("__last", "array<bigint>", pa.list_(pa.int64())), ("__items", "array<string>", pa.list_(pa.string()))]
     out = None
-    for b, items in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(items)
-        made: list[Windows] = []
-
-        def fn(texts, shared=shared, made=made):
-            if not made:
-                made.append(Windows(shared.value, n))
-            n_words, start, end, doc, hit, found, at = made[0].scan(texts)
+    for more, items in _blocks(benchmark, limit):
+        shared, number = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+
+        def fn(texts, shared=shared, number=number):
+            n_words, start, end, doc, hit, found, at = _worker_windows(number, shared, n).scan(texts)
             which = np.flatnonzero(hit)
             per = np.zeros(len(texts) + 1, np.int32)
             np.cumsum(np.bincount(doc[which], minlength=len(texts)), out=per[1:])
             lists = [pa.ListArray.from_arrays(pa.array(per), pa.array(x[which] - at[doc[which]])) for x in (start, end)]
             return [pa.array(n_words), *lists, pa.array([sorted(found.get(i, ())) for i in range(len(texts))], pa.list_(pa.string()))]
 
-        more = b + 1 < len(blocks)
-        past = [] if out is None else ["__hits", "__ids"]
         kept = list(dict.fromkeys([*keep, *(["text"] if more else []), *past]))
         out = map_text(carry, kept, fn, fields)
         hits, ids = F.arrays_zip(F.col("__first").alias("first"), F.col("__last").alias("last")), F.col("__items")
         if past:
             hits, ids = F.array_union("__hits", hits), F.array_union("__ids", ids)
-        out = out.select(*(F.col(f"`{k}`") for k in kept if k not in past), "n_words", hits.alias("__hits"), ids.alias("__ids"))
+        out = out.select(*(F.col(f"`{k}`") for k in kept if k not in past), "__words", hits.alias("__hits"), ids.alias("__ids"))
+        past = ["__hits", "__ids"]
         if more:
-            carry = out = cut(out.drop("n_words"), "hits")
-    return out.select(*(F.col(f"`{k}`") for k in keep), "n_words", F.array_sort("__hits").alias("hits"), F.size("__hits").cast("long").alias("n_hit"), F.array_sort("__ids").alias("items"))
+            carry = cut(out.drop("__words"), "hits")
+            shared.destroy()
+    return out.select(*(F.col(f"`{k}`") for k in keep), F.col("__words").alias("n_words"), F.array_sort("__hits").alias("hits"), F.size("__hits").cast("long").alias("n_hit"), F.array_sort("__ids").alias("items"))
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The documents without a hit, their columns as they were."""
-    return scan(docs, benchmark, docs.columns, n).where("n_hit = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    hidden, back = hide(docs)
+    return back(scan(hidden, benchmark, hidden.columns, n).where("n_hit = 0"))
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The documents, without the text from the first to the last word of each run of hit words."""
-    columns = list(docs.columns)
-    rows = scan(docs, benchmark, columns, n)
+    hidden, back = hide(docs)
+    columns = hidden.columns
+    rows = scan(hidden, benchmark, columns, n)
 
     def run(batches):
         for b in batches:
@@ -154,7 +177,7 @@ def drop_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
             cols = [pa.array(out, pa.string()) if c == "text" else b.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(cols, columns)
 
-    return rows.select(*(F.col(f"`{c}`") for c in columns), "hits").mapInArrow(run, docs.schema)
+    return back(rows.select(*columns, "hits").mapInArrow(run, hidden.schema))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm.common import table
+from veldt.llm.common import hide, table
 from veldt.llm.textops import map_text, raw, words
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -194,11 +194,12 @@ def redact(docs: DataFrame, samples=None, least: float = AHEAD, mask: str = MASK
             out.append((b"".join(kept) + whole[last:]).decode())
         return [pa.array(out, pa.string())]
 
-    columns = list(docs.columns)
-    out = map_text(docs, columns, fn, [], text_out=True)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in columns))
+    hidden, back = hide(docs)
+    out = map_text(hidden, hidden.columns, fn, [], text_out=True)
+    if "n_chars" in docs.columns:
+        n_chars = hidden.columns[docs.columns.index("n_chars")]
+        out = out.withColumn(n_chars, F.when(F.col("text").isNull(), F.col(n_chars)).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return back(out)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

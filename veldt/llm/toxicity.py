@@ -6,26 +6,29 @@ fold, so a later model sees earlier probabilities as wrong as they will be. The
 columns that there are: a low-quality text first, then a toxic one.
 
 Features: the presence of up to VOCABULARY words or stems that a category's labels depend on most (chi-squared over the documents of
-the sample), and the surface features. Weights are fitted with an L1 penalty, so that only telling ones keep a weight. A document is rejected if
-its last probability passes the threshold with the best F1 out of fold.
+the sample), and the surface features. Words, means and scales are chosen again without each fold, so nothing of a fold has a part in
+its prediction. Weights are fitted with an L1 penalty, so that only telling ones keep a weight. A document is rejected if
+its last probability passes the threshold: the one with the best F1 out of fold, drawn towards 0.5 as by DRAW more labels of the rarer kind.
 
-Labels are a bounded sample (SAMPLE rows, those whose hashed ids come first); word counts of the sample are made in Spark and the
+Labels are a bounded sample (SAMPLE rows, those whose hashed ids come first); its texts are written once, word counts are made in Spark and the
 fitting is on the driver. Every document is scored on its whole text.
 
-Nulls: a null text is empty; null labels are not used; documents without id are scored and learn nothing. Without labels of
-both kinds a category's probability is the label's share (0 without any); unless both kinds of the last category are in two folds at least,
-no probability out of fold can be held against a label and nothing is rejected. Repeated rows are repeated, an empty
-table gives none.
+Nulls: a null text is empty; null labels are not used; documents without id are scored and learn nothing; of several texts under
+one id the first in order learns. Without labels of both kinds a category's probability is the label's share (0 without any). Unless both
+kinds of the last category are in two folds at least, no probability out of fold can be held against a label: rejected is null then, drop_toxic() warns and
+keeps all. Repeated rows are repeated, an empty table gives none. Kept columns with the name of a column made here give way to
+it; drop_toxic() returns all columns as they were.
 """
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldt.llm.common import table
+from veldt.llm.common import cut, discard, hide, table
 from veldt.llm.features import dense
 from veldt.llm.textops import ALNUM, map_text, prefix_hashes, raw, word_hash, words
 
@@ -38,9 +41,10 @@ STEMS = (4, 5, 6, 7, 8)
 FOLDS = 5
 PENALTY = 5e-4
 LEAST_DOCS = 5
-#: With fewer labels of either kind of the last category, the threshold is EVEN at least.
-LEAST_LABELS = 10
-EVEN = 0.5
+#: Labels that the threshold's way towards an even chance is worth.
+DRAW = 5
+#: A threshold that no probability passes: there is no decision.
+UNDECIDED = 2.0
 
 
 @dataclass(frozen=True)
@@ -138,40 +142,55 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][i] + (p[order][i + 1] if i + 1 < len(p) else 0)) / 2)
 
 
-def train(vocabulary: np.ndarray, words_x: np.ndarray, dense_x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
-    """labels: a column per category. fold: 0 to FOLDS - 1, equal for equal documents."""
-    mean = dense_x.mean(0) if len(dense_x) else np.zeros(dense_x.shape[1])
-    scale = np.maximum(dense_x.std(0), 1e-4) if len(dense_x) else np.ones(dense_x.shape[1])
-    x = np.hstack([words_x, (dense_x - mean) / scale])
+def _standard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of the columns."""
+    return (x.mean(0), np.maximum(x.std(0), 1e-4)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+
+
+def train(vocabulary: np.ndarray, words_x: np.ndarray, dense_x: np.ndarray, labels: np.ndarray, fold: np.ndarray, chosen: list[np.ndarray] | None = None) -> Chain:
+    """labels: a column per category. fold: 0 to FOLDS - 1, equal for equal documents. vocabulary: the words of the columns of words_x. chosen: the
+    columns that were chosen without each fold and, last, from all documents; all columns if not given."""
+    chosen = chosen or [np.arange(words_x.shape[1])] * (FOLDS + 1)
+
+    def features(k: int, rows: np.ndarray):
+        mean, scale = _standard(dense_x[rows])
+        return np.hstack([words_x[:, chosen[k]], (dense_x - mean) / scale]), mean, scale
+
+    every = [features(f, fold != f)[0] for f in range(FOLDS)]
+    x, mean, scale = features(FOLDS, np.ones(len(fold), bool))
     models, p = [], np.zeros(len(x))
+    earlier = np.zeros((len(x), 0))
     for k in range(labels.shape[1]):
         y = labels[:, k]
         p = np.zeros(len(x))
         for f in range(FOLDS):
             out = fold == f
             if out.any():
-                p[out] = fit(x[~out], y[~out]).predict(x[out])
-        models.append(fit(x, y))
-        x = np.hstack([x, p[:, None]])
-    return Chain(vocabulary, mean, scale, tuple(models), threshold(p, labels[:, -1], fold))
+                own = np.hstack([every[f], earlier])
+                p[out] = fit(own[~out], y[~out]).predict(own[out])
+        models.append(fit(np.hstack([x, earlier]), y))
+        earlier = np.hstack([earlier, p[:, None]])
+    return Chain(vocabulary[chosen[FOLDS]] if len(vocabulary) else vocabulary, mean, scale, tuple(models), threshold(p, labels[:, -1], fold))
 
 
 def threshold(p: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
-    """The best by probabilities out of fold; above 1 where those of a fold come from one kind of labels only."""
+    """The best by probabilities out of fold, drawn towards a half as the labels are few; UNDECIDED where those of a fold come from one kind of
+    labels only."""
     if min(len(np.unique(fold[y == kind])) for kind in (0, 1)) < 2:
-        return 2.0
-    few = min((y == 1).sum(), (y == 0).sum()) < LEAST_LABELS
-    return max(best_threshold(p, y), EVEN if few else 0.0)
+        return UNDECIDED
+    rare = min((y == 1).sum(), (y == 0).sum())
+    return float((rare * best_threshold(p, y) + DRAW * 0.5) / (rare + DRAW))
 
 
 def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, limit: int = SAMPLE, size: int = VOCABULARY) -> Chain:
     known = F.lit(True)
     for _, column, _ in categories:
         known = known & F.col(f"`{column}`").isNotNull()
-    ys = [(F.col(f"`{column}`") == value).cast("int").alias(f"y{i}") for i, (_, column, value) in enumerate(categories)]
-    sample = labels.where(known & F.col("doc_id").isNotNull()).select("doc_id", *ys).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", *(f"y{i}" for i in range(len(ys)))).limit(limit)
-    names = [f"y{i}" for i in range(len(ys))]
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    names = [f"y{i}" for i in range(len(categories))]
+    ys = [(F.col(f"`{column}`") == value).cast("int").alias(y) for y, (_, column, value) in zip(names, categories, strict=True)]
+    sample = labels.where(known & F.col("doc_id").isNotNull()).select("doc_id", *ys).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(limit)
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = cut(found.groupBy("doc_id", *names).agg(F.min("text").alias("text")).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "labelled")
 
     def hashed(batch):
         doc, h = token_sets(batch)
@@ -179,60 +198,63 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, limit: int
         np.cumsum(np.bincount(doc, minlength=len(batch)), out=at[1:])
         return [pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))]
 
-    seen = map_text(texts, ["doc_id", *names], hashed, [("h", "array<bigint>", pa.list_(pa.int64()))])
-    totals = texts.agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in names)).first()
-    n = totals["n"]
-    chosen: set[int] = set()
-    counts = seen.select(*names, F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("df"), *(F.sum(y).alias(y) for y in names)).where(F.col("df") >= LEAST_DOCS)
-    ranks = []
-    for y in names:
-        ones = totals[y] or 0
-        if not n or ones in (0, n):
-            continue
-        expected = F.col("df") * F.lit(ones / n)
-        gain = F.pow(F.col(y) - expected, 2) / (expected * F.lit(1 - ones / n)) * F.lit(n) / (F.lit(n) - F.col("df") + 1)
-        ranks.append(F.struct((-gain).alias("g"), F.col("h")))
-    if ranks:
-        # the best of each category, found in one pass over the counts
-        best = counts.select(F.posexplode(F.array(*ranks)).alias("k", "r")).select("k", "r.g", "r.h")
-        for k in range(len(ranks)):
-            chosen |= {r["h"] for r in best.where(F.col("k") == k).orderBy("g", "h").limit(size // len(ranks)).collect()}
-    vocabulary = np.sort(np.array(sorted(chosen), np.int64).view(np.uint64))
+    # documents with a word, and positive ones, in all folds but one each, and in all
+    parts = [F.col("fold") != f for f in range(FOLDS)] + [F.lit(True)]
+    sums = [F.sum(F.when(p, c).otherwise(0)).alias(f"{n}_{k}") for k, p in enumerate(parts) for n, c in (("n", F.lit(1)), *((y, F.col(y)) for y in names))]
+    totals = texts.agg(*sums).first()
+    seen = map_text(texts, [*names, "fold"], hashed, [("h", "array<bigint>", pa.list_(pa.int64()))])
+    counts = seen.select(*names, "fold", F.explode("h").alias("h")).groupBy("h").agg(*sums)
+    gains = []
+    for k in range(len(parts)):
+        n, df = totals[f"n_{k}"] or 0, F.col(f"n_{k}")
+        for y in names:
+            ones = totals[f"{y}_{k}"] or 0
+            if ones not in (0, n):
+                expected = df * F.lit(ones / n)
+                gain = F.pow(F.col(f"{y}_{k}") - expected, 2) / (expected * F.lit(1 - ones / n)) * F.lit(n) / (F.lit(n) - df + 1)
+                gains.append(F.struct(F.lit(k).alias("k"), F.lit(y).alias("y"), F.when(df >= LEAST_DOCS, gain).alias("g")))
+    chosen: list[set[int]] = [set() for _ in parts]
+    if gains:
+        rank = F.row_number().over(Window.partitionBy("k", "y").orderBy(F.col("g").desc(), "h"))
+        best = counts.select("h", F.explode(F.array(*gains)).alias("x")).select("h", "x.*").where("g is not null")
+        for r in best.withColumn("rank", rank).where(F.col("rank") <= size // len(names)).select("k", "h").collect():
+            chosen[r["k"]].add(r["h"])
+    vocabulary = np.sort(np.array(sorted(set().union(*chosen)), np.int64).view(np.uint64))
 
     def rows(batch):
         x, d = presence(batch, vocabulary), dense(batch)
         return [pa.array([np.packbits(r.astype(bool)).tobytes() for r in x], pa.binary()), pa.array([r.astype(np.float32).tobytes() for r in d], pa.binary())]
 
-    got = map_text(texts, ["doc_id", *names], rows, [("words", "binary", pa.binary()), ("dense", "binary", pa.binary())]).toArrow()
+    got = map_text(texts, ["doc_id", "fold", *names], rows, [("words", "binary", pa.binary()), ("dense", "binary", pa.binary())]).toArrow()
+    discard(texts)
     got = got.sort_by([("doc_id", "ascending"), ("words", "ascending"), ("dense", "ascending")])
     width = len(dense(pa.array([""]))[0])
     m = got.num_rows
-    words_x = np.unpackbits(np.frombuffer(b"".join(got["words"].to_pylist()), np.uint8).reshape(m, -1), axis=1)[:, : len(vocabulary)].astype(float) if m and len(vocabulary) else np.zeros((m, len(vocabulary)))
+    words_x = np.unpackbits(np.frombuffer(b"".join(got["words"].to_pylist()), np.uint8).reshape(m, -1), axis=1)[:, : len(vocabulary)].astype(np.float32) if m and len(vocabulary) else np.zeros((m, len(vocabulary)), np.float32)
     dense_x = np.frombuffer(b"".join(got["dense"].to_pylist()), np.float32).reshape(m, width).astype(float)
     y = np.array([got[c].to_numpy() for c in names], float).T.reshape(m, len(names))
-    fold = np.array([hash_fold(i) for i in got["doc_id"].to_pylist()], int)
-    return train(vocabulary, words_x, dense_x, y, fold)
-
-
-def hash_fold(doc_id: int) -> int:
-    return (int(doc_id) * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) % FOLDS
+    columns = [np.searchsorted(vocabulary, np.sort(np.array(sorted(c), np.int64).view(np.uint64))) for c in chosen]
+    return train(vocabulary, words_x, dense_x, y, got["fold"].to_numpy(), columns)
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str], categories=CATEGORIES) -> DataFrame:
-    """The kept columns, a probability per category, and rejected."""
+    """The kept columns, a probability per category, and rejected (null where there is no threshold)."""
     names = [c[0] for c in categories]
 
     def fn(texts):
         p = chain.predict(chain.features(texts))
-        return [*(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] > chain.threshold)]
+        return [*(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] > chain.threshold) if chain.threshold < UNDECIDED else pa.nulls(len(p), pa.bool_())]
 
     return map_text(docs, keep, fn, [*((f"p_{c}", "double", pa.float64()) for c in names), ("rejected", "boolean", pa.bool_())])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the chain, learned from these documents' labels, does not reject."""
-    columns = list(docs.columns)
-    return score(docs, learn(docs, labels), columns).where(~F.col("rejected")).select(*(F.col(f"`{c}`") for c in columns))
+    chain = learn(docs, labels)
+    if chain.threshold >= UNDECIDED:
+        warnings.warn("both kinds of toxicity labels are needed in two folds at least: no document is rejected", stacklevel=2)
+    hidden, back = hide(docs)
+    return back(score(hidden, chain, hidden.columns).where(~F.coalesce("rejected", F.lit(False))))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
