@@ -3,12 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. The first four return the
 columns of documents, the last one what the mixture takes of each document. Which documents are toxic is learned, which SQL
 cannot express, so there is no ORACLE_SQL; the tests hold each stage against its definition.
+
+In every stage a null text is empty and stays null, null ids are ordinary rows, equal rows are copies of which near_duplicates keeps one, texts of
+any length are read whole, empty tables give empty tables, and columns beyond those of documents are kept to the last stage under any name.
+Without toxicity labels of both kinds no document is rejected, with a warning. Of ties the row that is first by all columns stays.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
 from veldt.llm import decontaminate, mixing, secrets, simhash, toxicity
-from veldt.llm.common import cut, table
+from veldt.llm.common import cut, discard, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each one's result written and read again; what a stage wrote on its way goes when it ends."""
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            after = cut(stage(spark, docs, sf_dir), name)
+            keep(after)
+        if docs is not before:
+            discard(docs)
+        docs = after
     return docs
