@@ -1,6 +1,6 @@
 """Connected components of a graph given as edges, by large-star and small-star steps.
 
-Edges are pairs of longs. Each step is a minimum per node (summed up before it is shuffled) and a join, so a
+Edges are pairs of longs. Each step is a minimum per node (combined before it is shuffled) and a join with salted keys, so a
 node with a third of all edges needs no task of its own; each round is written to the shared folder. The driver sees
 two numbers a round, never edges or labels.
 """
@@ -21,11 +21,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     neighbours, and it, are linked to the smallest."""
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        out = both.join(_smallest(both), "u").where("v > u").select(F.col("v").alias("a"), F.col("least").alias("b"))
+        out = salted(both, _smallest(both), ["u"], ["v"]).where("v > u").select(F.col("v").alias("a"), F.col("least").alias("b"))
     else:
         down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = _smallest(down)
-        out = down.join(low, "u").select(F.col("v").alias("a"), F.col("least").alias("b")).union(low.select(F.col("u").alias("a"), F.col("least").alias("b")))
+        out = salted(down, low, ["u"], ["v"]).select(F.col("v").alias("a"), F.col("least").alias("b")).union(low.select(F.col("u").alias("a"), F.col("least").alias("b")))
     return out.where("a <> b").distinct()
 
 

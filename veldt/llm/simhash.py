@@ -15,6 +15,8 @@ Nulls: a null text is empty; a text without words has fingerprint zero, linked l
 component's id unless it has no other. Repeated rows are repeated in the result, an empty table gives none.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +37,8 @@ RADIUS = 4
 BUCKET = 1 << 17
 #: Shingles in the sets of a candidate class that are searched in one place (sixteen megabytes).
 SETS = 1 << 21
+#: The texts of candidates are fetched in so many passes over the documents, each shuffling its share of them.
+PASSES = 4
 #: Candidates that are verified have so many fingerprints of their distinct words, under different hashes; RADIUS bits in one suffice.
 FINGERPRINTS = 6
 #: Members of a run that a task holds at once.
@@ -336,8 +340,13 @@ def verified(keyed: DataFrame, texts: DataFrame, roots: DataFrame, sets_of, simi
     every = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     members = cut(texts.select("node", "key", F.col("least.id").alias("id")).join(every, "node"), "members")
     at = _place(F.col("id"), F.col("key"))
-    found = keyed.select(at.alias("place"), "text").join(members.select(at.alias("place"), "root", "node"), "place").dropDuplicates(["place"])
-    sets = cut(map_text(found, ["root", "node"], sets_of, [("h", "array<bigint>", pa.list_(pa.int64()))]), "sets")
+    made = []
+    for k in range(PASSES):
+        own = F.pmod(F.xxhash64("place"), F.lit(PASSES)) == k
+        wanted = members.select(at.alias("place"), "root", "node").where(own)
+        found = keyed.select(at.alias("place"), "text").where(own).join(wanted.hint("merge"), "place").dropDuplicates(["place"])
+        made.append(cut(map_text(found, ["root", "node"], sets_of, [("h", "array<bigint>", pa.list_(pa.int64()))]), "sets"))
+    sets = reduce(DataFrame.union, made)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     meet = _blocked(sets, ["root"], sets.groupBy("root").agg(F.sum(F.size("h") + 1).alias("n")), SETS, "node").select("root", "i", "j", "node", "h")
 
@@ -349,8 +358,8 @@ def verified(keyed: DataFrame, texts: DataFrame, roots: DataFrame, sets_of, simi
 
     links = meet.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(search, "a long, b long")
     nodes = components(links)
-    discard(members)
-    discard(sets)
+    for done in (members, *made):
+        discard(done)
     named = least_of(texts.select("node", "key", F.col("least").alias("own"), F.struct("least", "key").alias("first")), nodes, "first")
     return named.select("key", F.col("own").alias("least"), F.col("least.key").alias("class_id"), F.col("least.least.id").alias("class_least"))
 
