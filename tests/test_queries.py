@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from veldt import queries as core
-from veldt import queries_more  # noqa: F401  (registers more)
+from veldt import queries_more, queries_operators  # noqa: F401  (register more)
 
 
 @pytest.fixture(scope="module")

@@ -208,7 +208,7 @@ def latest(df: DataFrame, keys, at: str, now: Column, stale_after: float) -> Dat
     """Per key the time and row of the last event, and whether it is older than stale_after seconds."""
     rest = [c for c in df.columns if c not in keys and c != at]
     out = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(at, *rest)).alias("__r"), F.max(at).alias(at)).select(*keys, at, "__r.*")
-    return out.withColumn("stale", now.cast("double") - F.col(at).cast("double") > stale_after)
+    return out.withColumn("stale", now.cast("timestamp").cast("double") - F.col(at).cast("timestamp").cast("double") > stale_after)
 
 
 def first_seen_index(df: DataFrame, key: str, at: str, scope=()) -> DataFrame:
