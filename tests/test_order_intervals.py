@@ -153,3 +153,40 @@ def test_enrichment_walk(spark):
         total = sum(w[g] for g in gs)
         steps = np.cumsum([w[g] / total if g in gs else -1 / (50 - len(gs)) for g in range(50)])
         assert got[t] == pytest.approx(steps[np.abs(steps).argmax()])
+
+
+@pytest.fixture(params=[1, 7, 1 << 20])
+def stretch(request, monkeypatch):
+    monkeypatch.setattr(o, "STRETCH", request.param)
+
+
+def test_stretches_of_a_contig_give_what_the_whole_gives(spark, stretch):
+    """Runs, depth, as-of and nearest points against loops over the whole contig, whatever the length of its stretches."""
+    rng = np.random.default_rng(12)
+    rows = [(None if rng.random() < 0.1 else "c", int(a), int(a + rng.integers(1, 30)), i) for i, a in enumerate(rng.integers(0, 400, 60))]
+    df = spark.createDataFrame(rows, "c string, s long, e long, i int")
+    want_runs, want_depth = [], []
+    for c in ("c", None):
+        mine = sorted((s, e) for k, s, e, _ in rows if k == c)
+        merged = []
+        for s, e in mine:
+            if merged and s < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        want_runs += [(c, *m) for m in merged]
+        edges = sorted({x for m in mine for x in m})
+        want_depth += [(c, a, b, d) for a, b in zip(edges, edges[1:]) if (d := sum(s <= a < e for s, e in mine))]
+    assert sorted(map(tuple, o.merge_runs(df, ["c"], "s", "e", touch=False).collect()), key=repr) == sorted(want_runs, key=repr)
+    assert sorted(map(tuple, o.coverage(df, ["c"], "s", "e").collect()), key=repr) == sorted(want_depth, key=repr)
+    points = sorted({(c, int(p)) for c, p in zip(rng.choice(["c", "d"], 25), rng.integers(0, 400, 25), strict=True)})
+    p = spark.createDataFrame([(c, x, f"p{x}") for c, x in points], "chrom string, point long, name string")
+    q = spark.createDataFrame([("c", int(x), i) for i, x in enumerate(rng.integers(-50, 450, 40))], "chrom string, at long, i int")
+    own = [x for c, x in points if c == "c"]
+    near = {r["i"]: r["p_point"] for r in iv.nearest_point(q, p).collect()}
+    last = {r["i"]: r["r_point"] for r in iv.as_of(q, p, ["chrom"], "at", "point").collect()}
+    before = {r["i"]: r["r_point"] for r in iv.as_of(q, p, ["chrom"], "at", "point", strict=True).collect()}
+    for r in q.collect():
+        assert near[r["i"]] == min(own, key=lambda x: (abs(x - r["at"]), x))
+        assert last[r["i"]] == max((x for x in own if x <= r["at"]), default=None)
+        assert before[r["i"]] == max((x for x in own if x < r["at"]), default=None)

@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -126,13 +127,42 @@ def top_rows(df: DataFrame, keys, order: list[Column], n: int, rank: str | None
     return out if rank else out.drop("__n")
 
 
+#: Positions (or seconds) of a key that one task sorts; what a stretch needs of those before it is carried in.
+STRETCH = 1 << 20
+
+
+def stretched(df: DataFrame, keys, at: Column) -> DataFrame:
+    """df with __k, a struct of the keys (null ones like any other) and the number of the row's stretch: windows by __k see one stretch each,
+    so a key with all rows, such as one contig, is no single task."""
+    if isinstance(df.select(at).schema[0].dataType, (T.TimestampNTZType, T.DateType)):
+        at = at.cast("timestamp")
+    return df.withColumn("__k", F.struct(F.struct(*(F.col(c) for c in keys), F.lit(0).alias("__0")).alias("keys"), F.floor(at.cast("double") / STRETCH).alias("n")))
+
+
+def carry(df: DataFrame, **states) -> DataFrame:
+    """df by __k with further columns for the state of the stretches around it: name=(aggregate of a stretch, function over the aggregates of the
+    earlier ones, or of the later ones where the third part is "after"). A row a stretch is moved."""
+    found = df.groupBy("__k").agg(*(agg.alias(f"__{name}") for name, (agg, *_) in states.items()))
+    whole = Window.partitionBy("__k.keys").orderBy("__k.n")
+    out = {}
+    for name, (_, over, *side) in states.items():
+        out[name] = over(F.col(f"__{name}")).over(whole.rowsBetween(1, LAST) if side else whole.rowsBetween(FIRST, -1))
+    return df.join(found.withColumns(out).select("__k", *out), "__k")
+
+
 def runs(df: DataFrame, keys, start: str, end: str, name: str = "run", touch: bool = True, gap: float = 0) -> DataFrame:
-    """Numbers runs of intervals that overlap (touch: or meet, or lie up to gap apart) within keys."""
-    w = _by(keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(FIRST, -1))
-    apart = F.col(start) - reach > gap if touch else F.col(start) - reach >= gap
-    new = df.withColumn("__new", F.when(reach.isNull() | apart, 1).otherwise(0))
-    return new.withColumn(name, F.sum("__new").over(w.rowsBetween(FIRST, 0))).drop("__new")
+    """Numbers runs of intervals that overlap (touch: or meet, or lie up to gap apart) within keys. A key is dealt in stretches of positions, each told
+    the greatest end and the number of runs before it."""
+    w = Window.partitionBy("__k").orderBy(start, end)
+    rows = carry(stretched(df, keys, F.col(start)), __reach=(F.max(end), F.max))
+    reach = F.greatest(F.col("__reach"), F.max(end).over(w.rowsBetween(FIRST, -1)))
+    rows = rows.withColumn("__far", reach)
+    apart = F.col(start) - F.col("__far") > gap if touch else F.col(start) - F.col("__far") >= gap
+    rows = rows.withColumn("__new", F.when(F.col("__far").isNull() | apart, 1).otherwise(0))
+    rows = carry(rows, __past=(F.sum("__new"), F.sum))
+    # of equal intervals the one that opens a run comes first: they are sorted anew here
+    counted = Window.partitionBy("__k").orderBy(start, end, F.col("__new").desc()).rowsBetween(FIRST, 0)
+    return rows.withColumn(name, F.coalesce("__past", F.lit(0)) + F.sum("__new").over(counted)).drop("__k", "__reach", "__far", "__new", "__past")
 
 
 def merge_runs(df: DataFrame, keys, start: str, end: str, touch: bool = True, gap: float = 0, more=()) -> DataFrame:
@@ -143,9 +173,11 @@ def coverage(df: DataFrame, keys, start: str, end: str, weight: Column | None =
     """Depth between neighbouring ends of half-open intervals, where it is not zero: keys, start, end, depth."""
     weight = F.lit(1) if weight is None else weight
     events = df.where(F.col(end) > F.col(start)).select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), weight.alias("d")), F.struct(F.col(end).alias("at"), (-weight).alias("d")))).alias("e"))
-    sums = events.groupBy(*keys, F.col("e.at").alias("start")).agg(F.sum("e.d").alias("d"))
-    w = _by(keys).orderBy("start")
-    return sums.select(*keys, "start", F.lead("start").over(w).alias("end"), F.sum("d").over(w.rowsBetween(FIRST, 0)).alias("depth")).where("end is not null and depth <> 0")
+    sums = stretched(events.groupBy(*keys, F.col("e.at").alias("start")).agg(F.sum("e.d").alias("d")), keys, F.col("start"))
+    sums = carry(sums, __base=(F.sum("d"), F.sum), __next=(F.min("start"), F.first, "after"))
+    w = Window.partitionBy("__k").orderBy("start")
+    depth = F.coalesce("__base", F.lit(0)) + F.sum("d").over(w.rowsBetween(FIRST, 0))
+    return sums.select(*keys, "start", F.coalesce(F.lead("start").over(w), F.col("__next")).alias("end"), depth.alias("depth")).where("end is not null and depth <> 0")
 
 
 def signal_blocks(df: DataFrame, keys, start="start", end="end", score="score") -> DataFrame:

@@ -8,7 +8,7 @@ about as wide as the intervals (or the window); very long intervals take more ro
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldt.functions.order import coverage, merge_runs, runs
+from veldt.functions.order import carry, coverage, merge_runs, runs, stretched
 
 BIN = 10_000
 
@@ -62,14 +62,17 @@ def _window_join(a: DataFrame, b: DataFrame, keys, width: int) -> DataFrame:
 
 def nearest_point(queries: DataFrame, points: DataFrame, at="at", point="point", keys=("chrom",), tie=("name",)) -> DataFrame:
     """Each query with the closest point of its contig: as-of from both sides, at equal distance the lower point, then the tie columns.
-    One shuffle and sort by contig, no range join. Points' columns come as p_<name>, with signed distance (point - at)."""
+    One shuffle and sort by stretches of a contig, no range join. Points' columns come as p_<name>, with signed distance (point - at)."""
     extra = [c for c in points.columns if c not in keys and c != point]
     first = points.groupBy(*keys, point).agg(F.min(F.struct(*tie, *(c for c in extra if c not in tie))).alias("p")).select(*keys, F.col(point).alias("__at"), F.struct(F.col(point).alias("point"), "p").alias("__p"))
     marked = queries.select(*keys, F.col(at).alias("__at"), F.struct(*queries.columns).alias("__q")).unionByName(first, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("__at", F.col("__p").isNull())
-    below = F.last("__p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("__p", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__at", F.col("__p").isNotNull()).rowsBetween(0, Window.unboundedFollowing))
-    rows = marked.withColumns({"__b": below, "__a": above}).where("__q is not null")
+    last, next_ = (lambda c: F.last(c, ignorenulls=True)), (lambda c: F.first(c, ignorenulls=True))
+    has = F.when(F.col("__p").isNotNull(), F.col("__at"))
+    marked = carry(stretched(marked, keys, F.col("__at")), __before=(F.max_by("__p", has), last), __after=(F.min_by("__p", has), next_, "after"))
+    order = Window.partitionBy("__k").orderBy("__at", F.col("__p").isNull())
+    below = last("__p").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    above = next_("__p").over(Window.partitionBy("__k").orderBy("__at", F.col("__p").isNotNull()).rowsBetween(0, Window.unboundedFollowing))
+    rows = marked.withColumns({"__b": F.coalesce(below, "__before"), "__a": F.coalesce(above, "__after")}).where("__q is not null")
     lower = F.col("__at") - F.col("__b.point") <= F.col("__a.point") - F.col("__at")
     best = F.when(F.col("__a").isNull() | (F.col("__b").isNotNull() & lower), F.col("__b")).otherwise(F.col("__a"))
     return rows.withColumn("__best", best).select("__q.*", F.col("__best.point").alias(f"p_{point}"), *(F.col(f"__best.p.{c}").alias(f"p_{c}") for c in extra), (F.col("__best.point") - F.col("__at")).alias("distance"))
@@ -80,8 +83,11 @@ def as_of(left: DataFrame, right: DataFrame, keys, at: str, right_at: str, stric
     rest = [c for c in right.columns if c not in keys]
     r = right.select(*keys, F.col(right_at).alias("__at"), F.struct(*rest).alias("__r"))
     l_ = left.select(*keys, F.col(at).alias("__at"), F.struct(*left.columns).alias("__l"))
-    order = Window.partitionBy(*keys).orderBy("__at", F.col("__l").isNull() if strict else F.col("__l").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    both = l_.unionByName(r, allowMissingColumns=True).withColumn("__got", F.last("__r", ignorenulls=True).over(order))
+    last = lambda c: F.last(c, ignorenulls=True)
+    has = F.when(F.col("__r").isNotNull(), F.col("__at"))
+    both = carry(stretched(l_.unionByName(r, allowMissingColumns=True), keys, F.col("__at")), __before=(F.max_by("__r", has), last))
+    order = Window.partitionBy("__k").orderBy("__at", F.col("__l").isNull() if strict else F.col("__l").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("__got", F.coalesce(last("__r").over(order), "__before"))
     return both.where("__l is not null").select("__l.*", *(F.col(f"__got.{c}").alias(f"r_{c}") for c in rest))
 
 
