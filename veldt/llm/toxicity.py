@@ -151,25 +151,25 @@ def train(vocabulary: np.ndarray, words_x: np.ndarray, dense_x: np.ndarray, labe
     """labels: a column per category. fold: 0 to FOLDS - 1, equal for equal documents. vocabulary: the words of the columns of words_x. chosen: the
     columns that were chosen without each fold and, last, from all documents; all columns if not given."""
     chosen = chosen or [np.arange(words_x.shape[1])] * (FOLDS + 1)
+    standard = [_standard(dense_x[fold != f]) for f in range(FOLDS)] + [_standard(dense_x)]
 
-    def features(k: int, rows: np.ndarray):
-        mean, scale = _standard(dense_x[rows])
-        return np.hstack([words_x[:, chosen[k]], (dense_x - mean) / scale]), mean, scale
+    def features(k: int, rows: np.ndarray) -> np.ndarray:
+        # one fold's columns of some rows at a time: the driver holds no second copy of the sample
+        mean, scale = standard[k]
+        return np.hstack([words_x[np.ix_(rows, chosen[k])], (dense_x[rows] - mean) / scale, earlier[rows]])
 
-    every = [features(f, fold != f)[0] for f in range(FOLDS)]
-    x, mean, scale = features(FOLDS, np.ones(len(fold), bool))
-    models, p = [], np.zeros(len(x))
-    earlier = np.zeros((len(x), 0))
+    models, p = [], np.zeros(len(fold))
+    earlier = np.zeros((len(fold), 0))
     for k in range(labels.shape[1]):
         y = labels[:, k]
-        p = np.zeros(len(x))
+        p = np.zeros(len(fold))
         for f in range(FOLDS):
-            out = fold == f
-            if out.any():
-                own = np.hstack([every[f], earlier])
-                p[out] = fit(own[~out], y[~out]).predict(own[out])
-        models.append(fit(np.hstack([x, earlier]), y))
+            out, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+            if len(out):
+                p[out] = fit(features(f, rest), y[rest]).predict(features(f, out))
+        models.append(fit(features(FOLDS, np.arange(len(fold))), y))
         earlier = np.hstack([earlier, p[:, None]])
+    mean, scale = standard[FOLDS]
     return Chain(vocabulary[chosen[FOLDS]] if len(vocabulary) else vocabulary, mean, scale, tuple(models), threshold(p, labels[:, -1], fold))
 
 
@@ -230,7 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, limit: int
     got = got.sort_by([("doc_id", "ascending"), ("words", "ascending"), ("dense", "ascending")])
     width = len(dense(pa.array([""]))[0])
     m = got.num_rows
-    words_x = np.unpackbits(np.frombuffer(b"".join(got["words"].to_pylist()), np.uint8).reshape(m, -1), axis=1)[:, : len(vocabulary)].astype(np.float32) if m and len(vocabulary) else np.zeros((m, len(vocabulary)), np.float32)
+    words_x = np.unpackbits(np.frombuffer(b"".join(got["words"].to_pylist()), np.uint8).reshape(m, -1), axis=1)[:, : len(vocabulary)] if m and len(vocabulary) else np.zeros((m, len(vocabulary)), np.uint8)
     dense_x = np.frombuffer(b"".join(got["dense"].to_pylist()), np.float32).reshape(m, width).astype(float)
     y = np.array([got[c].to_numpy() for c in names], float).T.reshape(m, len(names))
     columns = [np.searchsorted(vocabulary, np.sort(np.array(sorted(c), np.int64).view(np.uint64))) for c in chosen]
