@@ -224,3 +224,18 @@ def test_kappa_and_neighbours(spark):
     a = spark.createDataFrame([(1, [2, 3]), (2, [])], "cell int, neighbours array<int>")
     b = spark.createDataFrame([(1, [3, 4]), (2, [])], "cell int, neighbours array<int>")
     assert [tuple(x) for x in sets.neighbour_overlap(a, b).orderBy("cell").collect()] == [(1, pytest.approx(1 / 3), 0.5), (2, None, None)]
+
+
+def test_research_crate():
+    crate = state.research_crate({"version": "1", "commit": "c", "ended": "2024-01-01"}, [{"path": "in.csv", "sha256": "h", "bytes": 3}], ["report.html"], [{"id": "k", "text": "x", "tier": "association"}, {"text": "no id"}])
+    nodes = {x["@id"]: x for x in crate["@graph"]}
+    assert len(nodes) == len(crate["@graph"]) == 7 and nodes["in.csv"]["sha256"] == "h" and nodes["#claim-k"]["text"] == "x"
+
+    def refs(x):
+        found = [x["@id"]] if set(x) == {"@id"} else []
+        return found + [r for v in x.values() for y in (v if isinstance(v, list) else [v]) if isinstance(y, dict) for r in refs(y)]
+
+    assert {r for x in crate["@graph"] for r in refs(x)} - {"https://w3id.org/ro/crate/1.1"} <= set(nodes)
+    for bad in ({"id": "s", "tier": "speculative"}, {"id": "s", "node": "hypothesis://1"}):
+        with pytest.raises(ValueError):
+            state.research_crate({}, [], [], [bad])

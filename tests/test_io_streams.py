@@ -1,3 +1,4 @@
+import sqlite3
 import time
 
 import pytest
@@ -124,3 +125,58 @@ def test_windows(spark):
     assert sorted(r["n"] for r in bus.sessions(df, "ts", "1 minute", ["k"]).collect()) == [1, 2]
     ok, late = bus.split_late(df.withColumn("seen", F.lit("2024-01-01 00:01:00").cast("timestamp")), "ts", "seen", "30 seconds")
     assert (ok.count(), late.count()) == (2, 1)
+
+
+def test_soft_files(spark, tmp_path):
+    text = """^SERIES = G1
+!Series_title = old
+!Series_title = A = B
+!Series_supplementary_file = NONE
+!Series_supplementary_file = ftp://x/a.gz
+!Series_relation = SRA: https://x?term=SRP12 and prjna7
+!Sample_title = before any sample
+^SAMPLE = S1
+!Sample_title = one
+!Sample_organism_ch1 =
+!Sample_characteristics_ch1 = Tissue: a
+!Sample_characteristics_ch1 = tissue: b: c
+!Sample_characteristics_ch1 = none
+!Sample_relation = SRX5, SRP12
+^SAMPLE = S1
+!Sample_organism_ch1 = Mus musculus
+!Sample_library_strategy = RNA-Seq
+"""
+    p = put(tmp_path, "f.soft", text)
+    got = [(r["sample"], r["title"], r["organism"], r["library_strategy"], r["characteristics"]) for r in readers.soft_samples(spark, p).orderBy("block").collect()]
+    assert got == [("S1", "one", "", "", {"tissue": "b: c"}), ("S1", "", "Mus musculus", "RNA-Seq", {})]
+    r = readers.soft_series(spark, p).first()
+    assert (r["title"], r["organism"], r["library_strategy"], r["files"], r["accessions"]) == ("A = B", "Mus musculus", "RNA-Seq", ["ftp://x/a.gz"], ["SRP12", "PRJNA7", "SRX5"])
+    assert readers.soft_samples(spark, put(tmp_path, "e.soft", "")).count() == 0
+
+
+def test_directory_scan(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name in ("x.csv", "a/y.csv", "a/b/z.csv", "a/n.txt"):
+        put(tmp_path, name, "123456" if name == "a/y.csv" else "1")
+    (tmp_path / "a" / "loop").symlink_to(tmp_path)
+    found, report = readers.scan_directory(spark, str(tmp_path), r"\.csv$")
+    assert sorted(f[-5:] for f in found) == ["x.csv", "y.csv", "z.csv"] and report["files_seen"] == 4 and report["skipped_links"] == 1 and report["ended_by"] is None
+    assert readers.scan_directory(spark, str(tmp_path), r"\.csv$", max_depth=1)[1]["skipped_deep"] == 1
+    assert readers.scan_directory(spark, str(tmp_path), r"\.csv$", max_bytes=2)[1]["skipped_large"] == 1
+    for bound, n in (("max_files", 1), ("max_entries", 2), ("max_seconds", 0)):
+        assert readers.scan_directory(spark, str(tmp_path), **{bound: n})[1]["ended_by"] == bound
+    found, report = readers.scan_directory(spark, str(tmp_path / "none"))
+    assert found == [] and len(report["errors"]) == 1
+
+
+def test_sqlite(spark, tmp_path):
+    p = str(tmp_path / "m.db")
+    with sqlite3.connect(p) as db:
+        db.execute("create table f (id text, n int)")
+        db.executemany("insert into f values (?, ?)", [("a", 1), ("b", None), ("c", 3)])
+    db.close()
+    assert [tuple(r) for r in readers.sqlite(spark, p, "select id, n from f where id > ? order by id", "id string, n int", ("a",)).collect()] == [("b", None), ("c", 3)]
+    with pytest.raises(ValueError):
+        readers.sqlite(spark, p, "select * from f", "id string, n int", max_rows=2)
+    with pytest.raises(sqlite3.OperationalError):
+        readers.sqlite(spark, p, "insert into f values ('d', 4)", "id string")

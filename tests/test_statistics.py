@@ -206,3 +206,32 @@ def test_all_pair_correlations_cover_the_matrix(spark, sf):
     for a, b in list(want)[::97]:
         if not math.isnan(r.loc[a, b]):
             assert got[a, b][1] == pytest.approx(r.loc[a, b], abs=1e-6)
+
+
+def test_abundance_regression_and_cells(spark):
+    n = {"a1": (4, 9, 2), "a2": (6, 7, 3), "a3": (5, 9, 1), "b1": (9, 3, 2), "b2": (8, 5, 5)}
+    rows = [(s, k, s[0]) for s, x in n.items() for k, m in zip("xyz", x, strict=True) for _ in range(m)] + [("c1", "w", "c")]
+    got = {r["kind"]: r for r in models.abundance(spark.createDataFrame(rows, "sample string, kind string, g string"), "sample", "kind", "g", "b", "a").collect()}
+    assert sorted(got) == ["x", "y", "z"]
+    counts = np.array(list(n.values()), float)
+    logs = np.log((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True))
+    y = logs - logs.mean(1, keepdims=True)
+    x = np.column_stack([np.ones(5), [0, 0, 0, 1, 1]])
+    inv = np.linalg.inv(x.T @ x)
+    for i, k in enumerate("xyz"):
+        beta = inv @ x.T @ y[:, i]
+        e = (y[:, i] - x @ beta) / (1 - np.einsum("ij,jk,ik->i", x, inv, x))
+        se = np.sqrt((inv @ x.T @ np.diag(e**2) @ x @ inv)[1, 1])
+        assert got[k]["slope"] == pytest.approx(beta[1]) and got[k]["se"] == pytest.approx(se) and got[k]["model"] == "clr_hc3" and got[k]["padj"] >= got[k]["p"]
+    assert (got["x"]["n_test"], got["x"]["n_ref"]) == (17, 15)
+    same = [(s, k, s[0]) for s in ("a1", "a2", "b1", "b2") for k in "xxy"]
+    for r in models.abundance(spark.createDataFrame(same, "sample string, kind string, g string"), "sample", "kind", "g", "b", "a").collect():
+        assert (r["model"], r["fdr_included"], r["padj"], r["slope"], r["p"]) == ("fisher", False, None, None, pytest.approx(1.0))
+
+
+def test_contrast_rows_and_thresholds(spark):
+    df = spark.createDataFrame([("b_vs_a", 1, 0.01, 0.4), ("b_vs_a", 2, 0.01, 2.0), ("c_vs_a", 1, 0.2, 2.0), (None, 1, 0.2, 2.0)], "contrast string, group int, padj double, effect double")
+    assert counts.of_contrast(df, "b_vs_a").count() == 2 and counts.of_contrast(df, "b_vs_a", "1").count() == 1 and counts.of_contrast(df.drop("contrast"), "b_vs_a").count() == 4
+    t = counts.Thresholds.of({"global_padj": "0.3", "global_lfc": "none"}, "bulk", log2fc=1.0)
+    assert (t.padj, t.log2fc, t.modality) == (0.3, 1.0, "bulk") and counts.Thresholds.of(None) == counts.Thresholds()
+    assert df.where(t.significant(F.col("padj"), F.col("effect"))).count() == 3

@@ -115,3 +115,9 @@ def normal_p(z: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def hypergeometric_p(k: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     return pd.Series([hypergeometric_sf(*map(int, x)) for x in zip(k, population, marked, drawn, strict=True)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """Two-sided p of Fisher's exact test of the table ((a, b), (c, d)), by column."""
+    return pd.Series([fisher_exact(*map(int, x))[1] for x in zip(a, b, c, d, strict=True)], dtype=float)

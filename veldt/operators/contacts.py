@@ -151,5 +151,5 @@ def differential_bins(table: DataFrame, groups: DataFrame, a: str, b: str, alpha
     from veldt.functions.order import bh_adjust
     from veldt.operators.models import moderated
 
-    out = bh_adjust(moderated(table.join(F.broadcast(groups), "sample"), "group", a, b, floor=1e-6), "p", "padj")
+    out = bh_adjust(moderated(table.join(groups, "sample"), "group", a, b, floor=1e-6), "p", "padj")
     return out.withColumn("significant", F.coalesce((F.col("padj") <= alpha) & (F.abs("effect") >= least), F.lit(False)))

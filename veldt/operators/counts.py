@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,7 +56,7 @@ def composition(cells: DataFrame, sample="sample", kind="kind") -> DataFrame:
 
 def contingency_long(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of all pairs of a's and b's values, 0 included."""
-    grid = rows.select(a).distinct().crossJoin(F.broadcast(rows.select(b).distinct()))
+    grid = rows.select(a).distinct().crossJoin(rows.select(b).distinct())
     return grid.join(rows.groupBy(a, b).agg(F.count("*").alias("n")), [a, b], "left").fillna({"n": 0})
 
 
@@ -123,6 +124,39 @@ def significant(padj: Column, effect: Column | None = None, alpha: float = 0.05,
     return F.coalesce(ok, F.lit(False))
 
 
+def of_contrast(df: DataFrame, contrast: str, group=None) -> DataFrame:
+    """Rows of a contrast (columns comparison and contrast, those of them there are) and, where asked for and there is such a column, of a group. Compared as text;
+    null matches nothing."""
+    for column in {"comparison", "contrast"} & set(df.columns):
+        df = df.where(F.col(column).cast("string") == contrast)
+    return df.where(F.col("group").cast("string") == str(group)) if group is not None and "group" in df.columns else df
+
+
+@dataclass(frozen=True)
+class Thresholds:
+    """What counts as significant and how much data a test needs. Confirmed values of the experiment (global_padj, global_lfc) go before defaults; one that is no
+    number is the default."""
+
+    padj: float = 0.05
+    log2fc: float = 0.5
+    min_cells: int = 10
+    min_replicates: int = 3
+    modality: str = "generic"
+
+    @classmethod
+    def of(cls, context: dict | None, modality: str = "generic", log2fc: float = 0.5, min_cells: int = 10, min_replicates: int = 3) -> "Thresholds":
+        def number(key: str, default: float) -> float:
+            try:
+                return float((context or {}).get(key, default))
+            except (TypeError, ValueError):
+                return default
+
+        return cls(number("global_padj", cls.padj), number("global_lfc", log2fc), int(min_cells), int(min_replicates), str(modality))
+
+    def significant(self, padj: Column, effect: Column) -> Column:
+        return significant(padj, effect, self.padj, self.log2fc)
+
+
 def converged(df: DataFrame, flag="lfc_converged") -> DataFrame:
     return df.where(F.coalesce(F.col(flag), F.lit(False)))
 
@@ -351,7 +385,7 @@ def marker_summary(counts: DataFrame, cells: DataFrame, group="group", value="va
     sizes = cells.groupBy(group).agg(F.count("*").alias("n_in")).withColumn("n_all", F.sum("n_in").over(Window.partitionBy()))
     inside = counts.where("value > 0").join(cells.select("cell", group), "cell").groupBy(group, "feature").agg(F.sum(value).alias("s"), F.count("*").alias("k"))
     w = Window.partitionBy("feature")
-    rows = inside.withColumns({"s_all": F.sum("s").over(w), "k_all": F.sum("k").over(w)}).join(F.broadcast(sizes), group)
+    rows = inside.withColumns({"s_all": F.sum("s").over(w), "k_all": F.sum("k").over(w)}).join(sizes, group)
     out = F.col("n_all") - F.col("n_in")
     return rows.select(group, "feature", (F.col("s") / F.col("n_in")).alias("mean_in"), (F.col("k") / F.col("n_in")).alias("pct_in"), F.when(out > 0, (F.col("s_all") - F.col("s")) / out).alias("mean_out"), F.when(out > 0, (F.col("k_all") - F.col("k")) / out).alias("pct_out"))
 

@@ -157,7 +157,7 @@ def readiness(checks: DataFrame) -> DataFrame:
 
 def replicate_correlations(matrix: DataFrame, samples: DataFrame, low: float = 0.8) -> DataFrame:
     """Pairs of samples of one group whose correlation of log2(x + 1) is below low."""
-    log = matrix.select("feature", "sample", F.log2(F.col("value") + 1).alias("v")).join(F.broadcast(samples.select("sample", "group")), "sample")
+    log = matrix.select("feature", "sample", F.log2(F.col("value") + 1).alias("v")).join(samples.select("sample", "group"), "sample")
     j = log.withColumnsRenamed({"sample": "a", "v": "x"}).join(log.withColumnsRenamed({"sample": "b", "v": "y"}), ["feature", "group"]).where("a < b")
     return j.groupBy("group", "a", "b").agg(F.corr("x", "y").alias("r")).where(F.col("r") < low)
 

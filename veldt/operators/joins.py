@@ -28,7 +28,7 @@ def matched_effects(a: DataFrame, b: DataFrame, key="key", known="known") -> Dat
 def outer_counts(parts: list[DataFrame]) -> DataFrame:
     """Samples' counts in long form, a feature that a sample lacks counting 0."""
     rows = reduce(DataFrame.unionByName, parts).groupBy("feature", "sample").agg(F.sum("value").alias("value"))
-    grid = rows.select("feature").distinct().crossJoin(F.broadcast(rows.select("sample").distinct()))
+    grid = rows.select("feature").distinct().crossJoin(rows.select("sample").distinct())
     return grid.join(rows, ["feature", "sample"], "left").fillna({"value": 0})
 
 

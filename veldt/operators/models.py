@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.functions.order import bh_adjust, global_running
-from veldt.functions.special import normal_p, t_p
+from veldt.functions.special import fisher_p, normal_p, t_p
 
 MODERATION_DF = 4.0
 MODERATED_FROM = 20
@@ -101,12 +101,12 @@ def spike_in_factors(samples: DataFrame, unit="unit", exposure="exposure") -> Da
 
 
 def log_normalised(counts: DataFrame, factors: DataFrame, unit="unit") -> DataFrame:
-    return counts.join(F.broadcast(factors), unit).withColumn("value", F.log2(F.col("value") / F.col("size_factor") + 1))
+    return counts.join(factors, unit).withColumn("value", F.log2(F.col("value") / F.col("size_factor") + 1))
 
 
 def differential(counts: DataFrame, units: DataFrame, group: str, a: str, b: str, unit="unit", alpha: float = 0.05) -> DataFrame:
     """Median-of-ratios factors, log2, moderated contrast, correction. This is a moderated log-linear test, not a negative-binomial fit."""
-    norm = log_normalised(counts, size_factors(counts, unit), unit).join(F.broadcast(units.select(unit, group)), unit)
+    norm = log_normalised(counts, size_factors(counts, unit), unit).join(units.select(unit, group), unit)
     out = bh_adjust(moderated(norm, group, a, b), "p", "padj")
     return out.select("feature", F.col("effect").alias("log2fc"), "t", "df", "p", "padj", F.coalesce(F.col("padj") < alpha, F.lit(False)).alias("significant"))
 
@@ -115,7 +115,7 @@ def negative_binomial(counts: DataFrame, units: DataFrame, group: str, a: str, b
     """A log-linear negative-binomial fit per feature (moment dispersion, then IRLS), with a Wald test of a against b: log2fc, se, p, padj, converged. Rows of a
     feature are few (one a unit), and features are fitted by batches of groups."""
     factors = size_factors(counts, unit)
-    rows = counts.join(F.broadcast(factors), unit).join(F.broadcast(units.where(F.col(group).isin(a, b)).select(unit, F.col(group).alias("g"))), unit).select("feature", "value", "size_factor", (F.col("g") == a).cast("double").alias("x"))
+    rows = counts.join(factors, unit).join(units.where(F.col(group).isin(a, b)).select(unit, F.col(group).alias("g")), unit).select("feature", "value", "size_factor", (F.col("g") == a).cast("double").alias("x"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y, s, x = (pdf[c].to_numpy(float) for c in ("value", "size_factor", "x"))
@@ -182,19 +182,27 @@ def ols_hc3(df: DataFrame, keys, x: str, y: str) -> DataFrame:
 
 
 def abundance(cells: DataFrame, sample: str, kind: str, condition: str, test: str, ref: str) -> DataFrame:
-    """Kinds' log-ratio abundance between conditions: regression of CLR on the condition with HC3 errors, corrected over kinds; log2fc of mean shares."""
+    """Kinds' log-ratio abundance between conditions: regression of CLR on the condition with HC3 errors, log2fc of mean shares. Where the regression gives no p, p is
+    Fisher's on cells, a diagnostic (model "fisher", no slope); padj corrects over the regressions alone."""
     from veldt.functions.scalars import clr
     from veldt.operators.counts import contingency_long
 
-    n = contingency_long(cells, sample, kind).withColumnsRenamed({"n": "value"})
     arms = cells.groupBy(sample).agg(F.min(condition).alias("g")).where(F.col("g").isin(test, ref))
     if arms.groupBy("g").agg(F.count("*").alias("k")).agg(F.min("k").alias("least"), F.count("*").alias("arms")).where("least < 2 or arms < 2").count():
         raise ValueError("two samples an arm are needed")
-    live = n.groupBy(kind).agg(F.sum("value").alias("t")).where("t > 0").select(kind)
-    rows = clr(n.join(live, kind, "left_semi"), sample).join(arms, sample).withColumn("x", (F.col("g") == test).cast("double"))
-    share = rows.withColumn("share", F.col("value") / F.sum("value").over(Window.partitionBy(sample)))
-    fold = share.groupBy(kind).agg(F.log2((F.avg(F.when(F.col("x") == 1, F.col("share"))) + 1e-9) / (F.avg(F.when(F.col("x") == 0, F.col("share"))) + 1e-9)).alias("log2fc"))
-    return bh_adjust(ols_hc3(rows, [kind], "x", "clr"), "p", "padj").join(fold, kind).orderBy(F.col("padj").asc_nulls_last(), kind)
+    n = contingency_long(cells.join(arms.select(sample), sample, "left_semi"), sample, kind).withColumnRenamed("n", "value")
+    rows = clr(n, sample).join(arms, sample).withColumn("x", (F.col("g") == test).cast("double"))
+    rows = rows.withColumn("total", F.sum("value").over(Window.partitionBy(sample)))
+    in_arm = {"test": F.col("x") == 1, "ref": F.col("x") == 0}
+    sums = [F.sum(F.when(arm, F.col(c))).alias(f"{name}_{k}") for k, arm in in_arm.items() for name, c in (("n", "value"), ("all", "total"))]
+    shares = [F.avg(F.when(arm, F.col("value") / F.col("total"))).alias(f"share_{k}") for k, arm in in_arm.items()]
+    out = rows.groupBy(kind).agg(*sums, *shares).withColumn("log2fc", F.log2((F.col("share_test") + 1e-9) / (F.col("share_ref") + 1e-9)))
+    out = out.join(ols_hc3(rows, [kind], "x", "clr"), kind, "left")
+    donor = F.col("p").isNotNull() & ~F.isnan("p")
+    exact = fisher_p("n_test", F.col("all_test") - F.col("n_test"), "n_ref", F.col("all_ref") - F.col("n_ref"))
+    out = out.withColumns({"fdr_included": donor, "q": F.when(donor, F.col("p")), "model": F.when(donor, F.lit("clr_hc3")).otherwise(F.lit("fisher")), "slope": F.when(donor, F.col("slope"))})
+    out = bh_adjust(out, "q", "padj").withColumn("p", F.coalesce("q", exact)).drop("q", "all_test", "all_ref")
+    return out.orderBy(F.col("padj").asc_nulls_last(), kind)
 
 
 def rank_sum_markers(df: DataFrame, group="group", value="value") -> DataFrame:
@@ -263,7 +271,7 @@ def matched_correlation(pairs: DataFrame, a: DataFrame, b: DataFrame, permutatio
     a, b = vary(log(a)), vary(log(b))
     seen = pair_correlations(pairs, a, b, sample)
     moves = a.sparkSession.createDataFrame([(i, k, v) for i, m in enumerate(permutations) for k, v in m.items()], "draw int, from string, to string")
-    x = a.join(F.broadcast(moves), F.col(sample) == F.col("from")).select(F.col("feature").alias("a"), "draw", F.col("to").alias(sample), F.col("value").alias("x"))
+    x = a.join(moves, F.col(sample) == F.col("from")).select(F.col("feature").alias("a"), "draw", F.col("to").alias(sample), F.col("value").alias("x"))
     y = b.select(F.col("feature").alias("b"), sample, F.col("value").alias("y"))
     null = pairs.select("a", "b").distinct().join(x, "a").join(y, ["b", sample]).groupBy("a", "b", "draw").agg(F.corr("x", "y").alias("r")).where("r is not null")
     return bh_adjust(permutation_p(seen.where("r is not null"), null), "p", "padj")
@@ -432,7 +440,7 @@ def validate_design(rows: list[dict], condition: str, covariates=(), least: int
 
 def replicate_contrast(table: DataFrame, groups: DataFrame, a: str, b: str, batch: str | None = None, pairs: str | None = None, alpha: float = 0.05) -> DataFrame:
     """Per feature: Welch, a paired t over pairs, or least squares with batch terms; then the correction and the direction."""
-    rows = table.join(F.broadcast(groups), "sample")
+    rows = table.join(groups, "sample")
     if pairs:
         out = paired(rows.withColumnRenamed(pairs, "unit"), "group", a, b)
     elif batch:

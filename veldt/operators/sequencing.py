@@ -48,7 +48,7 @@ def umi_dedup(reads: DataFrame, locus=("chrom", "strand", "anchor")) -> DataFram
 
 def demultiplex(counts: DataFrame, barcodes: DataFrame) -> DataFrame:
     """Counts (barcode, feature, value) summed by the sample of their barcode."""
-    return counts.join(F.broadcast(barcodes), "barcode").groupBy("sample", "feature").agg(F.sum("value").alias("value"))
+    return counts.join(barcodes, "barcode").groupBy("sample", "feature").agg(F.sum("value").alias("value"))
 
 
 def strandedness(reads: DataFrame, genes: DataFrame, least: int = 200) -> DataFrame:
@@ -192,12 +192,12 @@ def inject_condition(cells: DataFrame, sheet: DataFrame, sample="sample") -> Dat
     """Cells with their sample's condition; a sample that the sheet lacks is an error."""
     if missing := [r[0] for r in cells.select(sample).distinct().join(sheet, sample, "left_anti").orderBy(sample).limit(21).collect()]:
         raise ValueError(f"samples without a condition: {missing}")
-    return cells.join(F.broadcast(sheet), sample)
+    return cells.join(sheet, sample)
 
 
 def apply_labels(cells: DataFrame, labels: dict[str, str], cluster="cluster") -> DataFrame:
     table = cells.sparkSession.createDataFrame([(str(k), v) for k, v in labels.items()], f"{cluster} string, label string")
-    return cells.join(F.broadcast(table), cells[cluster].cast("string") == table[cluster], "left").drop(table[cluster])
+    return cells.join(table, cells[cluster].cast("string") == table[cluster], "left").drop(table[cluster])
 
 
 def infer_design(metadata: list[dict]) -> dict:

@@ -84,6 +84,30 @@ def verify_capsule(manifest: dict, files: dict[str, str]) -> list[str]:
     return bad + ([] if hash_params({"files": manifest["files"]}) == manifest["capsule_sha256"] else ["the list itself was changed"])
 
 
+def research_crate(run: dict, inputs: list[dict], outputs: list[str], claims: list[dict]) -> dict:
+    """A run as RO-Crate 1.1: run (version, commit, ended, seeds), inputs (path, sha256, bytes, format), names of outputs, claims (id, text, tier, card, node). Claims
+    without id are left out; a speculative one, by its tier or by a node of the scheme hypothesis, is refused: a crate holds audited claims only."""
+    loose = [c.get("id") for c in claims if str(c.get("tier", "")).upper() == "SPECULATIVE" or str(c.get("node", "")).startswith("hypothesis://")]
+    if loose:
+        raise ValueError(f"speculative claims: {loose}")
+
+    def ref(name: str) -> dict:
+        return {"@id": name}
+
+    sources = [{"@id": x["path"], "@type": "File", "sha256": x.get("sha256"), "contentSize": x.get("bytes"), "encodingFormat": x.get("format")} for x in inputs]
+    products = [{"@id": name, "@type": "File"} for name in outputs]
+    files = [ref(f["@id"]) for f in sources + products]
+    about = [{"@id": f"#claim-{c['id']}", "@type": "Claim", "text": c.get("text"), "claimTier": c.get("tier"), "evidenceCard": c.get("card"), "ledgerNode": c.get("node"), "isPartOf": ref("./")} for c in claims if c.get("id")]
+    action = {"@id": "#run", "@type": "CreateAction", "instrument": ref("#engine"), "endTime": run.get("ended"), "gitCommit": run.get("commit"), "seeds": run.get("seeds", {}), "object": files[: len(sources)], "result": files[len(sources) :]}
+    graph = [
+        {"@id": "ro-crate-metadata.json", "@type": "CreativeWork", "conformsTo": ref("https://w3id.org/ro/crate/1.1"), "about": ref("./")},
+        {"@id": "./", "@type": "Dataset", "datePublished": run.get("ended"), "hasPart": files, "mentions": [ref("#run")] + [ref(c["@id"]) for c in about]},
+        {"@id": "#engine", "@type": "SoftwareApplication", "name": "veldt", "version": run.get("version")},
+        action,
+    ]
+    return {"@context": "https://w3id.org/ro/crate/1.1/context", "@graph": graph + sources + products + about}
+
+
 # the store: parquet tables by key, a new version of a table for each write
 
 SCHEMAS = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veldt.functions import order as o
 from veldt.functions import scalars as sc
 from veldt.functions.special import hypergeometric_p
-from veldt.operators import counts, governance, intervals, joins, sampling, sets, state
+from veldt.operators import counts, governance, intervals, joins, models, sampling, sets, state
 from veldt.plans.execute import execute
 from veldt.plans.model import GovernedTable, PlanViolation, TableContract, hash_params, parse_plan
 from veldt.plans.registry import Registry
@@ -661,3 +661,35 @@ def k_failure_is_told(spark, sf):
 def s_detected_types(spark, sf):
     cases = (["chrom", "start", "end", "barcode"], ["gene", "log2FoldChange", "padj"], ["sample_id", "condition"], ["gene_id", "s1", "s2"], ["a"])
     return spark.createDataFrame([(readers.detect_assay(c),) for c in cases], "kind string")
+
+
+# abundance, contrasts
+
+
+@query("""WITH c AS (SELECT o_custkey AS sample, o_orderpriority AS kind, c_acctbal >= 4500 AS rich FROM orders JOIN customer ON o_custkey = c_custkey),
+g AS (SELECT sample, CASE WHEN bool_and(rich) THEN 1 ELSE 0 END AS x FROM c GROUP BY 1), k AS (SELECT DISTINCT kind FROM c), m AS (SELECT sample, kind, count(*) AS v FROM c GROUP BY 1, 2),
+n AS (SELECT sample, x, kind, coalesce(v, 0) AS v FROM g CROSS JOIN k LEFT JOIN m USING (sample, kind)),
+l AS (SELECT *, ln((v + 0.5) / sum(v + 0.5) OVER (PARTITION BY sample)) AS l, v / sum(v) OVER (PARTITION BY sample) AS share FROM n),
+y AS (SELECT *, l - avg(l) OVER (PARTITION BY sample) AS y FROM l),
+d AS (SELECT *, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy, 1 / count(*) OVER w AS i FROM y WINDOW w AS (PARTITION BY kind)),
+b AS (SELECT *, sum(dx * dx) OVER w AS sxx, sum(dx * dy) OVER w / sum(dx * dx) OVER w AS b FROM d WINDOW w AS (PARTITION BY kind))
+SELECT kind, 'clr_hc3' AS model, CAST(sum(v) FILTER (x = 1) AS BIGINT) AS n_test, CAST(sum(v) FILTER (x = 0) AS BIGINT) AS n_ref, round(max(b), 6) AS slope,
+round(sqrt(sum(pow(dx * (dy - b * dx) / (1 - i - dx * dx / sxx), 2))) / max(sxx), 6) AS se,
+round(log2((avg(share) FILTER (x = 1) + 1e-9) / (avg(share) FILTER (x = 0) + 1e-9)), 6) AS log2fc FROM b GROUP BY kind""")
+def m_abundance(spark, sf):
+    """Shares of order priorities among a customer's orders, customers of a high balance against the others."""
+    rich = t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_acctbal") >= 4500, F.lit("rich")).otherwise(F.lit("poor")).alias("arm"))
+    cells = t(spark, sf, "orders").select("o_custkey", F.col("o_orderpriority").alias("kind")).join(rich, "o_custkey")
+    return rounded(models.abundance(cells, "o_custkey", "kind", "arm", "rich", "poor").select("kind", "model", "n_test", "n_ref", "slope", "se", "log2fc"))
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag || '_vs_' || l_linestatus = 'R_vs_F' AND l_linenumber = 2""")
+def p_of_contrast(spark, sf):
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("group"), F.concat("l_returnflag", F.lit("_vs_"), "l_linestatus").alias("contrast"))
+    return counts.of_contrast(rows, "R_vs_F", 2).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax < 0.04 AND abs(l_discount) > 0.05""")
+def p_thresholds(spark, sf):
+    limits = counts.Thresholds.of({"global_padj": "0.04", "global_lfc": None}, "bulk", log2fc=0.05)
+    return t(spark, sf, "lineitem").where(limits.significant(F.col("l_tax"), F.col("l_discount"))).select("l_orderkey", "l_linenumber")

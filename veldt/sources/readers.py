@@ -7,6 +7,8 @@ import csv
 import io
 import json
 import re
+import sqlite3
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -107,7 +109,7 @@ def cpm_matrix(spark: SparkSession, path: str, aliases: dict[str, str] | None =
         raise ValueError("repeated rows or columns")
     if aliases:
         names = spark.createDataFrame(list(aliases.items()), "gene string, alias string")
-        long = long.join(F.broadcast(names), "gene", "left").select(F.coalesce("alias", "gene").alias("gene"), "sample", "cpm")
+        long = long.join(names, "gene", "left").select(F.coalesce("alias", "gene").alias("gene"), "sample", "cpm")
     return long.groupBy("gene", "sample").agg(F.sum("cpm").alias("cpm"))
 
 
@@ -234,3 +236,106 @@ def detect_assay(columns: list[str], name: str = "") -> str:
     if low & {"condition", "group", "treatment"} and low & {"sample", "sample_id"}:
         return "sample_sheet"
     return "count_matrix" if len(columns) > 2 and re.search("count|matrix|gene|peak", name + columns[0], re.I) else "unknown"
+
+
+#: The prefixes of public sequence accessions.
+ACCESSION = r"\b((?:SRP|ERP|DRP|PRJNA|PRJEB|PRJDB|SRX|ERX|DRX|SRR|ERR|DRR)\d+)\b"
+
+
+def _soft_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with a key: file, place, tag, value, and the number of the sample block they stand in (0 before the first). A file is one row while it is read, so files
+    are read side by side."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("at", "line"))
+    lines = files.withColumn("line", F.trim("line")).where(F.col("line").rlike(r"^(\^SAMPLE|!Series_|!Sample_)"))
+    value = F.when(F.instr("line", " = ") > 0, F.trim(F.expr("substring(line, instr(line, ' = ') + 3)"))).otherwise("")
+    block = F.sum(F.col("line").startswith("^SAMPLE").cast("int")).over(Window.partitionBy("file").orderBy("at"))
+    return lines.select("file", "at", F.regexp_extract("line", r"^\S+", 0).alias("tag"), value.alias("value"), block.alias("block"))
+
+
+def _last(tag: str):
+    return F.coalesce(F.max_by("value", F.when(F.col("tag").startswith(tag), F.col("at"))), F.lit(""))
+
+
+def soft_samples(spark: SparkSession, path: str) -> DataFrame:
+    """The samples of SOFT family files in their order: file, block, sample, title, organism, library_strategy, characteristics (keys in lower case). Of a field or key
+    given again the last counts; fields before the first sample belong to none."""
+    lines = _soft_lines(spark, path).where("block > 0")
+    pair = F.struct(F.lower(F.trim(F.substring_index("value", ":", 1))).alias("k"), "at", F.trim(F.expr("substring(value, instr(value, ':') + 1)")).alias("v"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("tag").startswith("!Sample_characteristics_ch1") & F.contains("value", F.lit(":")), pair)))
+    later = F.filter(pairs, lambda x, i: F.coalesce(F.get(pairs, i + 1)["k"] != x["k"], F.lit(True)))
+    named = F.map_from_entries(F.transform(later, lambda x: F.struct(x["k"], x["v"])))
+    return lines.groupBy("file", "block").agg(
+        _last("^SAMPLE").alias("sample"), _last("!Sample_title").alias("title"), _last("!Sample_organism_ch1").alias("organism"),
+        _last("!Sample_library_strategy").alias("library_strategy"), named.alias("characteristics"),
+    )
+
+
+def soft_series(spark: SparkSession, path: str) -> DataFrame:
+    """A row per SOFT file: title, the samples' first organism and library strategy that are not empty, supplementary files (without NONE), public accessions in the
+    order of their first mention."""
+    lines = _soft_lines(spark, path)
+
+    def first(tag: str):
+        return F.coalesce(F.min_by("value", F.when(F.col("tag").startswith(tag) & (F.col("block") > 0) & (F.col("value") != ""), F.col("at"))), F.lit(""))
+
+    def listed(wanted, what):
+        found = F.array_sort(F.collect_list(F.when(wanted, F.struct("at", what.alias("v")))))
+        return F.transform(found, lambda x: x["v"])
+
+    related = F.col("tag").startswith("!Series_relation") | (F.col("tag").startswith("!Sample_relation") & (F.col("block") > 0))
+    extra = F.col("tag").startswith("!Series_supplementary_file") & ~F.col("value").isin("", "NONE")
+    return lines.groupBy("file").agg(
+        _last("!Series_title").alias("title"), first("!Sample_organism_ch1").alias("organism"), first("!Sample_library_strategy").alias("library_strategy"),
+        listed(extra, F.col("value")).alias("files"), F.array_distinct(F.flatten(listed(related, F.regexp_extract_all(F.upper("value"), F.lit(ACCESSION), 1)))).alias("accessions"),
+    )
+
+
+def scan_directory(spark: SparkSession, folder: str, pattern: str = ".", max_files: int = 5000, max_entries: int = 20000, max_depth: int = 8, max_seconds: float = 10.0, max_bytes: int | None = None) -> tuple[list[str], dict]:
+    """Files below a folder whose name matches, in any file system Spark reads, and a report: what was seen and left out, and which bound ended the scan. Symbolic
+    links are not followed; a folder that cannot be listed is an error in the report."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    report = {"entries_seen": 0, "files_seen": 0, "skipped_links": 0, "skipped_large": 0, "skipped_deep": 0, "errors": [], "ended_by": None}
+    found, folders, end = [], [(root, 0)], time.monotonic() + max_seconds
+    while folders and not report["ended_by"]:
+        here, depth = folders.pop()
+        try:
+            entries = fs.listStatusIterator(here)
+            while entries.hasNext() and not report["ended_by"]:
+                entry = entries.next()
+                path = entry.getPath()
+                if time.monotonic() >= end:
+                    report["ended_by"] = "max_seconds"
+                elif report["entries_seen"] >= max_entries:
+                    report["ended_by"] = "max_entries"
+                else:
+                    report["entries_seen"] += 1
+                    # the local file system knows a link only by a path without scheme
+                    if fs.getFileLinkStatus(jvm.org.apache.hadoop.fs.Path(path.toUri().getPath())).isSymlink():
+                        report["skipped_links"] += 1
+                    elif entry.isDirectory():
+                        if depth < max_depth:
+                            folders.append((path, depth + 1))
+                        else:
+                            report["skipped_deep"] += 1
+                    else:
+                        report["files_seen"] += 1
+                        if max_bytes is not None and entry.getLen() > max_bytes:
+                            report["skipped_large"] += 1
+                        elif re.search(pattern, path.getName()):
+                            found.append(path.toString())
+                            report["ended_by"] = "max_files" if len(found) >= max_files else None
+        except Exception as e:
+            report["errors"].append(f"{here.toString()}: {str(e).splitlines()[0]}")
+    return found, report
+
+
+def sqlite(spark: SparkSession, path: str, sql: str, schema: str, params=(), max_rows: int = 100_000) -> DataFrame:
+    """Rows of a query on a SQLite file of the driver, opened read-only. The file is one machine's, so the rows are bounded: more than max_rows is an error."""
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        rows = db.execute(sql, params).fetchmany(max_rows + 1)
+    db.close()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} rows")
+    return spark.createDataFrame(rows, schema)

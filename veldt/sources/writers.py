@@ -18,7 +18,7 @@ def delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = True) ->
 def differential(df: DataFrame, path: str, symbols: DataFrame | None = None, padj: float = 0.05) -> None:
     """Significant rows with symbols, ordered by padj."""
     out = df.where(F.coalesce(F.col("padj") < padj, F.lit(False)))
-    out = out.join(F.broadcast(symbols), "feature", "left") if symbols is not None else out
+    out = out.join(symbols, "feature", "left") if symbols is not None else out
     delimited(json_safe(out.orderBy(F.col("padj").asc_nulls_last(), "feature")), path)
 
 
