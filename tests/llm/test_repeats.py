@@ -121,3 +121,17 @@ def test_whole_table_against_brute_force(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = sorted(map(tuple, m.op4_repeats(spark, sf).collect()))
     assert got == sorted((r["doc_id"], *x) for r, x in zip(rows, brute([r["text"] for r in rows], 200), strict=True))
+
+
+def test_no_join_is_broadcast(spark, monkeypatch):
+    """By their files' sizes all these tables look small enough for the driver, salted sixteenfold or not."""
+    plans, cut = [], m.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(m, "cut", lambda df, tag: plans.append(plan(df)) or cut(df, tag))
+    rng = random.Random(6)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    texts = [a, a, a[:300] + b[:150], b, b[100:330] + "end", None]
+    out = m.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), held=1)
+    plans.append(plan(out))
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+    check(spark, texts, held=1)

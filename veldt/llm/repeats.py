@@ -18,7 +18,8 @@ HELD kinds are searched where they lie; of larger ones every string becomes a ro
 
 Ranks are 64-bit hashes, always compared together with the rank before, so two strings must collide twice to be mistaken.
 Rounds are sums over keys (combined before the shuffle), and joins whose keys are salted, so a passage that a third of
-all texts hold fills no single task. A record knows its text by 128 bits of its id and all its bytes.
+all texts hold fills no single task. They ask for sorted joins: Spark sizes these tables by their compressed files, which tell neither the copies of
+a salted group nor the rows and spans that come of them, and would broadcast what the driver cannot hold. A record knows its text by 128 bits of its id and all its bytes.
 
 Nulls: a null text is empty; null ids are ordinary. Equal rows repeat each other, several texts under one id stay apart. Texts under LENGTH bytes keep
 everything, an empty table gives no rows, other columns are ignored. Long texts are cut into overlapping parts.
@@ -182,7 +183,7 @@ def _doubled(kinds: DataFrame, length: int, first: int) -> DataFrame:
         alone = ranked.where("all = 1").select("r.rank", "r.whole", F.lit(True).alias("alone"))
         left = F.when(F.col("alone"), _dx() - limit - 1).otherwise(_n())
         # the key is a kind's own, so none is hot
-        kinds = kinds.join(alone, ["rank", "whole"], "left").withColumn("left", left).where("left > 0")
+        kinds = kinds.join(alone.hint("merge"), ["rank", "whole"], "left").withColumn("left", left).where("left > 0")
         kinds = kinds.withColumn("pack", F.shiftleft(_lo(), 20) + F.shiftleft(F.col("left"), 10) + _dx()).drop("alone", "left")
     return kinds.select("rank", "whole", "times", "place", "pack")
 
@@ -287,7 +288,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", length: int = LENGTH, fi
     texts = texts.select("id", place_of(F.col("id"), F.col("text")).alias("place"), "text")
     found = cut(_find(texts.select("place", "text"), length, first), "records")
     ranks = cut(found.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"), "ranks")
-    alive = cut(salted(found, ranks, ["rank"], ["place", "pack"]), "alive")
+    alive = cut(salted(found, ranks.hint("merge"), ["rank"], ["place", "pack"]), "alive")
     discard(found)
     discard(ranks)
     sample = F.min(F.struct("place", "pack", *(c for c in alive.columns if c.startswith("at")))).alias("r")
@@ -296,14 +297,14 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", length: int = LENGTH, fi
     open_ = cut(_doubled(kinds, length, first), "open")
     # ranks of one kind, which then stands in several places, and of kinds that all do, need no search
     several = open_.groupBy("rank").agg(F.count("*").alias("k"), F.min("times").alias("least")).where("k > 1 and least = 1").select("rank", (F.col("k") > held).alias("wide"))
-    wanted = salted(open_, several, ["rank"], ["whole"]).groupBy("place").agg(F.collect_list(F.struct("pack", "rank", "times", "wide")).alias("wanted"))
-    slices = cut(_slices(texts.select("place", "text").join(wanted, "place").select("place", "text", "wanted"), length), "slices")
+    wanted = salted(open_, several.hint("merge"), ["rank"], ["whole"]).groupBy("place").agg(F.collect_list(F.struct("pack", "rank", "times", "wide")).alias("wanted"))
+    slices = cut(_slices(texts.select("place", "text").join(wanted.hint("merge"), "place").select("place", "text", "wanted"), length), "slices")
     matched = cut(_match(slices.where("not wide").repartition(parts, "rank").sortWithinPartitions("rank"), length), "matched")
     strings = cut(_spelled(slices.where("wide"), length), "strings")
     discard(slices)
     twice = strings.groupBy("rank", "d", "h").agg(F.sum("t").alias("all")).where("all > 1").select("rank", "d", "h")
-    settled = salted(alive, equal, ["rank", "whole"], ["place", "pack"]).select("place", _lo().alias("low"), (_lo() + _n() - 1).alias("high"))
-    spelled = salted(strings.where("t = 1"), twice, ["rank", "d", "h"], ["place", "low"]).select("place", "low", F.col("low").alias("high"))
+    settled = salted(alive, equal.hint("merge"), ["rank", "whole"], ["place", "pack"]).select("place", _lo().alias("low"), (_lo() + _n() - 1).alias("high"))
+    spelled = salted(strings.where("t = 1"), twice.hint("merge"), ["rank", "d", "h"], ["place", "low"]).select("place", "low", F.col("low").alias("high"))
     # equal rows have the same spans, which count once
     lists = cut(settled.unionByName(matched).unionByName(spelled).groupBy("place").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")
     for done in (alive, kinds, open_, matched, strings):
@@ -314,7 +315,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", length: int = LENGTH, fi
 def removed(docs: DataFrame, id_column: str = "doc_id", length: int = LENGTH, with_text: bool = False, **more) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) if asked for."""
     texts, lists = repeats(docs, id_column, length, **more)
-    rows = texts.join(lists, "place", "left").select("id", "text", "spans")
+    rows = texts.join(lists.hint("merge"), "place", "left").select("id", "text", "spans")
     names = [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
 
     def run(batches):
