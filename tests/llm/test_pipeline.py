@@ -35,6 +35,18 @@ def test_hard_rows_pass_every_stage(spark, docs, tmp_path):
     assert p.run(spark, f"{folder}/none").count() == 0
 
 
+def test_small_work_tables_have_few_files(spark):
+    parts, most = 40 * spark.sparkContext.defaultParallelism, 4 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", most)
+    try:
+        out = cut(spark.range(0, 10_000, 1, parts), "few")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 1 < len(out.inputFiles()) <= most
+    assert sorted(r.id for r in out.collect()) == list(range(10_000))
+
+
 def test_work_tables_go_with_their_stage(spark, sf, tmp_path):
     import os
 
