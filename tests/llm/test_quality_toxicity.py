@@ -122,3 +122,63 @@ def test_bradley_terry_weights_are_the_loss_minimum():
     raw = s @ r.weights
     best = max(((raw[y == 1] >= t).mean() + (raw[y == 0] < t).mean()) for t in raw)
     assert (raw[y == 1] >= r.threshold).mean() + (raw[y == 0] < r.threshold).mean() >= best - 0.02
+
+
+def _all_pairs(n=300, seed=6):
+    rng = np.random.default_rng(seed)
+    z = rng.normal(size=(n, 3)) * [1, 5, 30] + [0, 2, -4]
+    return z, (z[:, 0] + z[:, 1] / 5 + rng.normal(size=n) > 0.4).astype(int)
+
+
+def test_quality_learns_from_all_pairs():
+    """The weights are where the loss of every pair, written out, is least; drawn pairs missed it. The threshold is the best of all scores."""
+    x, y = _all_pairs()
+    r = q.fit(x, y)
+    z = (x - r.mean) / r.scale
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 3)
+    slope = q.RIDGE * r.weights - d.T @ (1 / (1 + np.exp(d @ r.weights))) / len(d)
+    assert np.abs(slope).max() < 1e-9
+    raw = z @ r.weights
+    best = max((raw[y == 1] >= t).mean() + (raw[y == 0] < t).mean() for t in raw)
+    assert (raw[y == 1] >= r.threshold).mean() + (raw[y == 0] < r.threshold).mean() == pytest.approx(best, abs=1e-12)
+
+
+@pytest.mark.parametrize("far", [1, 40])
+def test_pair_sums_equal_written_out_pairs(far):
+    from veldt.llm import pairwise as p
+
+    x, y = _all_pairs(80)
+    w = far * np.array([0.7, -0.2, 0.1])
+    got = p.loss_of(p.moments(x, y, w))
+    d = (x[y == 1][:, None] - x[y == 0][None]).reshape(-1, 3)
+    h = 1 / (1 + np.exp(d @ w))
+    assert got.loss == pytest.approx(np.logaddexp(0, -(d @ w)).mean(), rel=1e-11) and got.pairs == len(d)
+    assert np.allclose(got.slope, -(d.T @ h) / len(d), rtol=0, atol=1e-10)
+    bend = p.curvature(x, y, w, got.curves)[0] / got.pairs - got.cross - got.cross.T
+    assert np.allclose(bend, (d * (h * (1 - h))[:, None]).T @ d / len(d), rtol=0, atol=1e-9)
+
+
+def test_quality_table_fits_as_arrays_do(spark):
+    x, y = _all_pairs()
+    x = x.astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(int(k), [float(v) for v in r]) for k, r in zip(y, x)], "y int, x array<float>").repartition(7)
+    a, b = q.fit(x, y), q.fit_table(rows)
+    assert np.allclose(a.weights, b.weights, atol=1e-9) and a.threshold == pytest.approx(b.threshold, abs=1e-9) and np.allclose(a.scale, b.scale)
+    again = q.fit_table(rows)
+    assert np.array_equal(b.weights, again.weights) and b.threshold == again.threshold
+    assert not q.fit_table(rows.where("y = 1")).weights.any()
+
+
+def test_quality_learns_from_every_label(spark):
+    """No row of a large labels table is left out of learning, on the driver and beyond it."""
+    docs = spark.range(21_000).selectExpr("id as doc_id", "concat(repeat('ab ', int(id % 7) + 1), repeat('!', int(id % 11))) as text")
+    labels = spark.range(21_000).selectExpr("id as doc_id", "int(id % 11 < 5) as quality")
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(q, "fit_table", lambda rows: seen.append(rows.count()) or q._undecided(len(q.NAMES)))
+        q.score(docs, labels).count()
+    assert seen == [21_000]
+    few, kinds = docs.limit(900), labels.limit(900)
+    features = q.with_features(few, ["doc_id"])
+    a, b = q.learn(features, kinds), q.learn(features, kinds, local=0)
+    assert np.allclose(a.weights, b.weights, atol=1e-6) and a.threshold == pytest.approx(b.threshold, abs=1e-6)
