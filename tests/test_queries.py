@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -10,6 +11,7 @@ import pytest
 import __spark_entry__ as entry
 from veldt import queries as core
 from veldt import queries_more, queries_operators  # noqa: F401  (register more)
+from veldt.functions import order
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +40,24 @@ def test_same_as_sql(spark, duck, sf, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("length", [1000, 1 << 20])
+@pytest.mark.parametrize("name", ["j_replicate_pairs"])
+def test_runs_same_as_sql_on_odd_intervals(spark, tmp_path, monkeypatch, name, length):
+    """Quantities in quarters, null quantities and parts, in one and in several stretches; no interval twice, so the SQL's order leaves nothing open."""
+    monkeypatch.setattr(order, "STRETCH", length)
+    rng, found = random.Random(3), {}
+    for i in range(400):
+        part, size = rng.randrange(100), None if rng.random() < 0.1 else rng.randrange(4, 240) / 4
+        found[i % 3, part, size and round(size)] = (part, i % 3, rng.randrange(1, 8), size, rng.randrange(9) / 100)
+    lines = [*found.values(), (None, 0, 1, 5.0, 0.5), (None, 1, 3, None, 0.5), (None, 41, 1, 5.0, 0.5)]
+    c = duckdb.connect()
+    c.execute("create table lineitem (l_partkey bigint, l_suppkey bigint, l_linenumber integer, l_quantity double, l_tax double)")
+    c.executemany("insert into lineitem values (?, ?, ?, ?, ?)", lines)
+    c.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    got, want = rows(core.QUERIES[name](spark, str(tmp_path)).toPandas()), rows(c.sql(core.SQL[name]).df())
+    assert want and got == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

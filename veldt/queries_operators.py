@@ -303,7 +303,8 @@ _SPANS = "SELECT 'c' || (l_suppkey % 40) AS chrom, l_partkey * 37 AS \"start\",
 
 def _spans(spark, sf):
     start = F.col("l_partkey") * 37
-    return t(spark, sf, "lineitem").select(F.concat(F.lit("c"), F.col("l_suppkey") % 40).alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), (F.col("l_linenumber") % 3).alias("rep"), F.col("l_tax").alias("score"))
+    size = F.rint("l_quantity").cast("long")  # the SQL's cast rounds, half to even
+    return t(spark, sf, "lineitem").select(F.concat(F.lit("c"), F.col("l_suppkey") % 40).alias("chrom"), start.alias("start"), (start + size).alias("end"), (F.col("l_linenumber") % 3).alias("rep"), F.col("l_tax").alias("score"))
 
 
 _RUNS = f"""WITH s AS ({_SPANS}), m AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
