@@ -41,7 +41,7 @@ def test_same_as_sql(spark, duck, sf, name):
 
 
 @pytest.mark.parametrize("length", [1000, 1 << 20])
-@pytest.mark.parametrize("name", ["j_replicate_pairs"])
+@pytest.mark.parametrize("name", ["j_replicate_pairs", "j_union_map"])
 def test_runs_same_as_sql_on_odd_intervals(spark, tmp_path, monkeypatch, name, length):
     """Quantities in quarters, null quantities and parts, in one and in several stretches; no interval twice, so the SQL's order leaves nothing open."""
     monkeypatch.setattr(order, "STRETCH", length)
