@@ -58,6 +58,19 @@ def test_runs_same_as_sql_on_odd_intervals(spark, tmp_path, monkeypatch, name, l
     assert want and got == want
 
 
+@pytest.mark.parametrize("name", ["j_replicate_pairs", "j_union_map"])
+def test_runs_same_as_sql_at_both_ends_of_long(spark, tmp_path, name):
+    """Starts so far apart that their difference is no long; no interval twice."""
+    far = (1 << 63) // 37 - 200
+    lines = [(side * far + i // 6, i % 2, 1 + i // 2 % 3, 20.0 + i, i / 100) for side in (-1, 1) for i in range(24)]
+    c = duckdb.connect()
+    c.execute("create table lineitem (l_partkey bigint, l_suppkey bigint, l_linenumber integer, l_quantity double, l_tax double)")
+    c.executemany("insert into lineitem values (?, ?, ?, ?, ?)", lines)
+    c.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    got, want = core.QUERIES[name](spark, str(tmp_path)).collect(), c.execute(core.SQL[name]).fetchall()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
